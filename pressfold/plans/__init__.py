@@ -1,0 +1 @@
+"""Named queries over a data folder, with their SQL."""
