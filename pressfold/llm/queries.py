@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressfold.llm import bpe, cooccur, copies, leakage
+from pressfold.llm import bpe, cooccur, copies, history, leakage, sentences
+from pressfold.session import stored
 from pressfold.sources.tables import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    sources = table(spark, folder, "corporation")
+    accepted = history.prepare(table(spark, folder, "article").where("deleted_at is null"), sources)
+    incoming = history.prepare(table(spark, folder, "crawled_article"), sources)
+    return history.check_batch(incoming, history.History.of(stored(accepted)))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return copies.copies(table(spark, folder, "article"))
 
@@ -37,8 +45,12 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked(table(spark, folder, "documents"), table(spark, folder, "eval_item"))
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.sentences(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_copy_counts, p6_found, p6_pairs, p8_ids, p9_found)
+    f.__name__: f for f in (p1_found, p2_found, p2_copy_counts, p6_found, p6_pairs, p8_ids, p9_found, p10_found)
 }
 
 _KEYED = r"""
