@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressfold.llm import bpe, cooccur, copies, history, leakage, sentences
+from pressfold.llm import bpe, cooccur, copies, history, leakage, residue, sentences
 from pressfold.session import stored
 from pressfold.sources.tables import table
 
@@ -27,6 +27,10 @@ def p2_copy_counts(spark: SparkSession, folder: str) -> DataFrame:
     return copies.collapse(table(spark, folder, "article"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.residue(table(spark, folder, "article"), table(spark, folder, "corporation"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = cooccur.associations(table(spark, folder, "article_tag"), "article_id", "tag_id")
     return cooccur.beyond_chance(pairs).select(F.col("a").alias("tag_id_a"), F.col("b").alias("tag_id_b"))
@@ -50,7 +54,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p2_copy_counts, p6_found, p6_pairs, p8_ids, p9_found, p10_found)
+    f.__name__: f for f in (p1_found, p2_found, p2_copy_counts, p4_found, p6_found, p6_pairs, p8_ids, p9_found, p10_found)
 }
 
 _KEYED = r"""
