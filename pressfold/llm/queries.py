@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressfold.llm import bpe, cooccur, copies, history, leakage, residue, sentences
+from pressfold.llm import bpe, cooccur, copies, history, leakage, residue, sentences, truncation
 from pressfold.session import stored
 from pressfold.sources.tables import table
 
@@ -41,6 +41,18 @@ def p6_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("a").alias("tag_id_a"), F.col("b").alias("tag_id_b"), "n_a", "n_b", "n_ab", "n_records", F.round("odds_ratio", 3).alias("odds_ratio"))
 
 
+def _cut(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.truncated(table(spark, folder, "article"), p4_found(spark, folder))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _cut(spark, folder).select("id", "field_name")
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.shares(_cut(spark, folder), table(spark, folder, "article"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(table(spark, folder, "documents"))
 
@@ -54,7 +66,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p2_copy_counts, p4_found, p6_found, p6_pairs, p8_ids, p9_found, p10_found)
+    f.__name__: f for f in (p1_found, p2_found, p2_copy_counts, p4_found, p6_found, p6_pairs, p7_found, p7_shares, p8_ids, p9_found, p10_found)
 }
 
 _KEYED = r"""
