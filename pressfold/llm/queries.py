@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressfold.llm import bpe, cooccur, copies, history, leakage, residue, sentences, truncation
+from pressfold.llm import bpe, cooccur, copies, history, leakage, residue, sentences, subjects, truncation
 from pressfold.session import stored
 from pressfold.sources.tables import table
 
@@ -27,6 +27,17 @@ def p2_copy_counts(spark: SparkSession, folder: str) -> DataFrame:
     return copies.collapse(table(spark, folder, "article"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    tables = (table(spark, folder, name) for name in ("article", "article_label", "article_tag", "tag"))
+    return subjects.subjects_of(*tables, left_out=p4_found(spark, folder))
+
+
+def p3_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """The number of articles about each subject, and their share of all articles."""
+    articles = table(spark, folder, "article").count()
+    return p3_found(spark, folder).groupBy("subject_id").agg(F.count("*").alias("articles"), (F.count("*") / F.lit(max(articles, 1))).alias("share"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return residue.residue(table(spark, folder, "article"), table(spark, folder, "corporation"))
 
@@ -66,7 +77,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p2_copy_counts, p4_found, p6_found, p6_pairs, p7_found, p7_shares, p8_ids, p9_found, p10_found)
+    f.__name__: f for f in (p1_found, p2_found, p2_copy_counts, p3_found, p3_composition, p4_found, p6_found, p6_pairs, p7_found, p7_shares, p8_ids, p9_found, p10_found)
 }
 
 _KEYED = r"""
