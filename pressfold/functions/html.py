@@ -55,7 +55,7 @@ class Node:
                 stack.extend(reversed(item.children))
                 if block:
                     parts.append(" ")
-        return re.sub(r"[ \t\n\f\r]+", " ", "".join(parts)).strip(" ")
+        return re.sub(r"[ \t\n\f\r\xa0]+", " ", "".join(parts)).strip(" ")
 
     def get(self, name: str) -> str:
         return self.attrs.get(name, "")
