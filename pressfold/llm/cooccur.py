@@ -148,12 +148,12 @@ def associations(rows: DataFrame, record: str, item: str) -> DataFrame:
     """
     counts, dictionary = code_counts(rows, record, item)
     low = F.lit((1 << 32) - 1)
-    total = counts.where("code = -1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_records"))  # one row
+    total = counts.where("code = -1").agg(F.sum("n")).first()[0] or 0
     split = counts.where("code >= 0").select(F.shiftright("code", 32).alias("a"), F.col("code").bitwiseAND(low).alias("b"), "n")
     single = split.where("a = b")
     out = split.where("a < b").withColumnRenamed("n", "n_ab")
     out = out.join(single.select("a", F.col("n").alias("n_a")), "a").join(single.select("b", F.col("n").alias("n_b")), "b")
-    out = out.join(F.broadcast(total))
+    out = out.withColumn("n_records", F.lit(total).cast("bigint"))
     both, only_a, only_b = F.col("n_ab"), F.col("n_a") - F.col("n_ab"), F.col("n_b") - F.col("n_ab")
     neither = F.col("n_records") - F.col("n_a") - F.col("n_b") + F.col("n_ab")
     ratio = (both + 0.5) * (neither + 0.5) / ((only_a + 0.5) * (only_b + 0.5))
