@@ -42,14 +42,14 @@ class Run:
 
 def with_ids(records: DataFrame, articles: DataFrame, now: Column) -> DataFrame:
     """Article rows with ids that follow the largest one, in order of source and place."""
-    start = articles.agg(F.coalesce(F.max("id"), F.lit(0)).alias("start"))
+    start = articles.agg(F.max("id")).first()[0] or 0
     placed = stored(records.repartitionByRange("corporation_id", "page_url", "ordinal").withColumn("part", F.spark_partition_id()))
     sizes = placed.groupBy("part").agg(F.count("*").alias("size"))
     offsets = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))  # a row for each partition
     ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy("corporation_id", "page_url", "ordinal")))
     zero, none = F.lit(0), F.lit(None)
-    return ranked.join(offsets, "part").join(start).select(
-        (F.col("start") + F.col("before") + F.col("rank")).alias("id"), "corporation_id", "title", "summary", "link", zero.alias("view_count"), zero.alias("like_count"), "thumbnail_image",
+    return ranked.join(offsets, "part").select(
+        (F.lit(start) + F.col("before") + F.col("rank")).alias("id"), "corporation_id", "title", "summary", "link", zero.alias("view_count"), zero.alias("like_count"), "thumbnail_image",
         none.cast("int").alias("reading_time"), "published_at", now.alias("created_at"), now.alias("updated_at"), none.cast("timestamp_ntz").alias("deleted_at"),
     )
 

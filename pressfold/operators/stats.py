@@ -22,8 +22,9 @@ def crawl_stats(corporations: DataFrame, articles: DataFrame, now: Column) -> Da
     """One row: crawlable companies, their articles of the last day, and ``now``."""
     sources = corporations.where(crawlable()).select(F.col("id").alias("corporation_id"))
     since = now - F.expr("INTERVAL 1 DAY")
-    fresh = articles.where(F.col("created_at") >= since).join(sources, "corporation_id", "left_semi").agg(F.count("*").alias("total_new_articles"))
-    return sources.agg(F.count("*").alias("total_corporations")).join(fresh).withColumn("last_crawled_at", now)  # one row each
+    fresh = articles.where(F.col("created_at") >= since).join(sources, "corporation_id", "left_semi")
+    both = sources.select(F.lit(1).alias("c"), F.lit(0).alias("a")).unionByName(fresh.select(F.lit(0).alias("c"), F.lit(1).alias("a")))
+    return both.agg(F.count_if(F.col("c") == 1).alias("total_corporations"), F.count_if(F.col("a") == 1).alias("total_new_articles")).withColumn("last_crawled_at", now)
 
 
 def run_summary(results: DataFrame) -> DataFrame:
