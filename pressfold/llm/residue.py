@@ -111,10 +111,10 @@ def evidence(line: str) -> bool:
             return True
         if len(words) >= 4 and sum(w in FILLER_WORDS for w in words) >= 0.6 * len(words):
             return True
-    at = 0
+    at, marked = 0, _MARKS.search(line) is not None
     while found := _LETTER.search(line, at):
         start = found.start()
-        m = _PLACEHOLDER_AHEAD.match(line, at) or _EVIDENCE.match(line, max(at, start - 1)) or _EVIDENCE.match(line, start)
+        m = (marked and _PLACEHOLDER_AHEAD.match(line, at)) or (start > at and _EVIDENCE.match(line, start - 1)) or _EVIDENCE.match(line, start)
         if not m or m.end() <= start or not _whole(line, m):
             return at > 0 and len(_LETTER.findall(line, at)) <= 0.1 * len(_LETTER.findall(line))
         at = m.end()
