@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +35,25 @@ def local_session(cores: int = 8, partitions: int = 8, **conf: str) -> SparkSess
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors' Python, once for each context; the driver hands the archive out."""
+    context = spark.sparkContext
+    if _shipped.get("context") == context.applicationId:
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="pressfold-code-")
+    archive = f"{folder}/{root.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, path.relative_to(root.parent))
+    context.addPyFile(archive)
+    atexit.register(shutil.rmtree, folder, True)
+    _shipped["context"] = context.applicationId
+
+
+_shipped: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share.
 

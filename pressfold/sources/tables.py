@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pressfold.session import ship
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """``folder/name.parquet``, a file or a folder of files."""
+    """``folder/name.parquet``, a file or a folder of files; the executors get this package's code with it."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
