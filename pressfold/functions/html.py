@@ -138,3 +138,8 @@ def compiled(selector: str):  # noqa: ANN201
         return False
 
     return test
+
+
+def fragment_text(html: str | None) -> str | None:
+    """The visible text of a fragment; null for null."""
+    return None if html is None else parse(html).text()

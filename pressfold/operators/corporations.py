@@ -126,3 +126,20 @@ def soft_delete(corporations: DataFrame, company: int, now: datetime) -> DataFra
     mine = (F.col("id") == company) & active()
     stamp = F.lit(now).cast("timestamp_ntz")
     return corporations.withColumns({c: F.when(mine, stamp).otherwise(F.col(c)) for c in ("deleted_at", "updated_at")})
+
+
+def get(corporations: DataFrame, links: DataFrame, industries: DataFrame, company: int) -> dict:
+    """An active company with its industries, as a caller sees it."""
+    own = links.where(F.col("corporation_id") == company)
+    row = with_industries(find_active(corporations, company), own, industries).select("id", "name", *LINKS, "industries", "created_at", "updated_at").first()
+    if row is None:
+        raise NotFound(company)
+    return row.asDict()
+
+
+def edit_form(corporations: DataFrame, company: int) -> CompanyForm:
+    """The fields of an active company for a change; its industries are not among them, so saving clears them."""
+    row = find_active(corporations, company).select("name", *LINKS).first()
+    if row is None:
+        raise NotFound(company)
+    return CompanyForm(**row.asDict(), industry_ids=[])

@@ -86,3 +86,18 @@ def ingest(corporations: DataFrame, pages: DataFrame, articles: DataFrame, now:
         number("new_articles").alias("total_articles"), number("new_articles").alias("new_articles"), number("extracted_articles").alias("extracted_articles"),
     )
     return Run(with_ids(new, articles, now), report)
+
+
+def ingest_one(company: int, corporations: DataFrame, pages: DataFrame, articles: DataFrame, now: Column) -> Run:
+    """The same for one company; one that is unknown or deleted has no report."""
+    return ingest(corporations.where(F.col("id") == company), pages, articles, now)
+
+
+def append_articles(run: Run, path: str) -> None:
+    """Append the new articles to the table's folder."""
+    run.articles.write.mode("append").parquet(path)
+
+
+def write_report(run: Run, path: str) -> None:
+    """Append the report, a folder for each day of crawling."""
+    run.report.withColumn("crawled_on", F.to_date("crawled_at")).write.mode("append").partitionBy("crawled_on").parquet(path)

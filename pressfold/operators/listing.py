@@ -77,3 +77,8 @@ def page_numbers_of(rows: DataFrame, page: int, size: int) -> DataFrame:
     check_page(page, size)
     counted = rows.agg(F.count("*").alias("total_elements")).withColumn("total_pages", F.ceil(F.col("total_elements") / size).cast("bigint"))
     return counted.select("total_elements", "total_pages", F.lit(page).alias("number"), F.lit(size).alias("size"), (F.lit(page + 1) < F.col("total_pages")).alias("has_next"), F.lit(page > 0).alias("has_previous"))
+
+
+def page_json(page: DataFrame) -> DataFrame:
+    """Each row of a page as one JSON text, nulls included."""
+    return page.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))

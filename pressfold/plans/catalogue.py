@@ -163,6 +163,24 @@ def industry_by_ids(spark: SparkSession, folder: str) -> DataFrame:
     return P.by_ids(table(spark, folder, "industry"), [3, 5, 999]).select("id", "name")
 
 
+@query("SELECT id, name FROM industry WHERE name = '게임'")
+def industry_by_name(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "industry").where(F.col("name") == "게임").select("id", "name")
+
+
+@query("SELECT id, title, deleted_at IS NOT NULL AS deleted FROM article WHERE id = 100")
+def article_by_id(spark: SparkSession, folder: str) -> DataFrame:
+    """By id, deleted or not."""
+    return table(spark, folder, "article").where(F.col("id") == 100).limit(1).select("id", "title", F.col("deleted_at").isNotNull().alias("deleted"))
+
+
+@query("SELECT DISTINCT a.id, a.link FROM article a JOIN (SELECT link FROM crawled_article WHERE batch_no = 1) c ON a.link = c.link WHERE a.deleted_at IS NULL")
+def link_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """Active articles with the links of a batch."""
+    wanted = table(spark, folder, "crawled_article").where("batch_no = 1").select("link")
+    return table(spark, folder, "article").where(P.active()).join(wanted, "link", "left_semi").select("id", "link")
+
+
 @query("SELECT id, blog_link FROM corporation WHERE deleted_at IS NULL AND blog_link IS NOT NULL AND blog_link <> ''")
 def corp_crawlable(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "corporation").where(P.crawlable()).select("id", "blog_link")

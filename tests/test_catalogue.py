@@ -94,6 +94,9 @@ def test_maintenance(spark):
             C.update(rows, links, industries, bad, C.CompanyForm("x"), NOW)
     with pytest.raises(C.Conflict):
         C.update(rows, links, industries, 1, C.CompanyForm("other"), NOW)
+    assert C.get(rows, links, industries, 1)["industries"] == ["a"] and C.edit_form(rows, 1).name == "old"
+    with pytest.raises(C.NotFound):
+        C.get(rows, links, industries, 3)
     deleted = C.soft_delete(rows, 1, later)
     assert deleted.where("id = 1").first().deleted_at == later
     with pytest.raises(C.NotFound):
@@ -132,6 +135,8 @@ def test_ingest(spark):
     assert found == {"https://a.com/1": (12, 1, "First title"), "https://a.com/2": (13, 1, "Second title"), "https://b.com/8": (14, 2, "Deleted one")}
     report = {r.corporation_id: (r.success, r.error_message, r.new_articles, r.extracted_articles) for r in run.report.collect()}
     assert report == {1: (True, None, 2, 3), 2: (True, None, 1, 3), 3: (False, ingest.NO_LINK, 0, 0), 4: (False, ingest.CHALLENGE, 0, 0), 5: (False, ingest.TOO_LONG, 0, 0), 6: (False, ingest.NOT_FETCHED, 0, 0)}
+    one = ingest.ingest_one(2, sources, pages, known, lit())
+    assert [r.corporation_id for r in one.report.collect()] == [2] and one.articles.count() == 2
     again = ingest.ingest(sources, pages, known.unionByName(run.articles), lit())
     assert again.articles.count() == 0
     assert ingest.ingest(sources, pages, known, lit(), enabled=False).report.count() == 0
