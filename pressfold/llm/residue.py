@@ -21,7 +21,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,6 +78,7 @@ _REFERENCE = re.compile(r"\s*\((?:ref|request|id|code|trace)[ :#]*[0-9a-f-]{4,40
 _EDGE = " \t\u00a0※*•·;|-–—"
 _FACES = (":(", ":)", "ㅠㅠ", "ᅲᅲ", "ㅜㅜ")
 _PARTS = re.compile(r"\n|\s+(?:[-–—|·»]|::)\s+")
+_DIVIDERS = ("\n", " -", "|", " –", " —", "·", "»", "::")
 _HOST = re.compile(r"(?:[\w-]+\.)+[a-z]{2,}")
 _LETTER = re.compile(r"[^\W_]")
 _FINISHED = re.compile(r"(?:^|[.!?…。！？)\]\"'”’]|[다요죠음임])\s*$")
@@ -99,7 +100,9 @@ def clean(text: str) -> str:
         text = _TAGS.sub(" ", text)
     if "(" in text:
         text = _REFERENCE.sub("", text)
-    return _SPACES.sub(" ", text).strip()
+    if "  " in text or not text.isprintable():
+        text = _SPACES.sub(" ", text)
+    return text.strip()
 
 
 def evidence(line: str) -> bool:
@@ -146,7 +149,7 @@ def lines_of(text: str | None, names: set[str]) -> tuple[bool, list[tuple[str, i
     if own_placeholders(text):
         return True, []
     lines = []
-    for part in _PARTS.split(text):
+    for part in _PARTS.split(text) if any(c in text for c in _DIVIDERS) else (text,):
         line = part.strip(_EDGE).lower()
         while line.endswith(_FACES):
             line = line[:-2].rstrip(_EDGE)
@@ -156,20 +159,37 @@ def lines_of(text: str | None, names: set[str]) -> tuple[bool, list[tuple[str, i
     return False, lines
 
 
-def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_LINES = pa.schema([("id", pa.int64()), ("field", pa.int32()), ("host", pa.int64()), ("line", pa.int64()), ("kind", pa.int32())])
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each line of a field; kind 3 for a field that is a case by itself."""
     for b in batches:
-        out = []
-        for key, title, summary, link, site in zip(b["id"], b["title"], b["summary"], b["link"], b["site"], strict=True):
+        known: dict[str | None, set[str]] = {}
+        columns = ids, fields, hosts, found, kinds = [], [], [], [], []
+        for key, title, summary, link, site in zip(*(b.column(c).to_pylist() for c in ("id", "title", "summary", "link", "site")), strict=True):
             host = (link or "").strip().lower().partition("://")[2].partition("/")[0].partition(":")[0].removeprefix("www.")
-            place = xxhash.xxh3_64_intdigest(host.encode("utf-8", "surrogatepass")) - (1 << 63)
-            names = {clean(site).lower()} if site else set()
+            place = _hash(host)
+            names = known.get(site)
+            if names is None:
+                names = known[site] = {clean(site).lower()} if site else set()
             for field, text in ((0, title), (1, summary)):
+                if not text:
+                    continue
                 case, lines = lines_of(text, names)
                 if case:
-                    out.append((key, field, place, 0, 3))
+                    lines = [("", 3)]
                 for line, kind in lines:
-                    out.append((key, field, place, xxhash.xxh3_64_intdigest(f"{host}\x01{line}".encode("utf-8", "surrogatepass")) - (1 << 63), kind))
-        yield pd.DataFrame(out, columns=["id", "field", "host", "line", "kind"])
+                    ids.append(key)
+                    fields.append(field)
+                    hosts.append(place)
+                    found.append(_hash(f"{host}\x01{line}"))
+                    kinds.append(kind)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _LINES, strict=True)], schema=_LINES)
 
 
 def residue(records: DataFrame, sources: DataFrame | None = None) -> DataFrame:
@@ -183,7 +203,7 @@ def residue(records: DataFrame, sources: DataFrame | None = None) -> DataFrame:
         own = own.withColumn("site", F.lit(None).cast("string"))
     else:
         own = own.join(sources.groupBy(F.col("id").alias("corporation_id")).agg(F.min("name").alias("site")), "corporation_id", "left")
-    lines = own.select("id", "title", "summary", "link", "site").mapInPandas(_lines, "id bigint, field int, host bigint, line bigint, kind int")
+    lines = own.select("id", "title", "summary", "link", "site").mapInArrow(_lines, "id bigint, field int, host bigint, line bigint, kind int")
     lines = stored(lines)
     # partial counts are made before the shuffle, so a host with most of the rows is no heavier than others
     recurrent = lines.where("kind = 0").groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= RECURRENT)
