@@ -32,7 +32,7 @@ from urllib.parse import unquote
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressfold.session import stored
@@ -228,9 +228,9 @@ class History:
         return History(keys, heads, entries(heads, probe=False))
 
     @staticmethod
-    def read(folder_reader, path: str) -> History:  # noqa: ANN001
+    def read(spark: SparkSession, path: str) -> History:
         """The history kept in a folder by ``append``."""
-        return History(*(folder_reader.parquet(f"{path}/{name}") for name in ("keys", "heads", "index")))
+        return History(*(spark.read.parquet(f"{path}/{name}") for name in ("keys", "heads", "index")))
 
     def append(self, path: str) -> None:
         """Add these records to the history kept in a folder; a headline that it holds already may be stored again."""

@@ -31,7 +31,7 @@ BLOCK = 16
 #: Fixed values of BM25: saturation and length normalisation.
 K1, B = 1.2, 0.75
 #: Upper bound of the items' text, which every worker holds.
-MOST_ITEM_BYTES = 64 << 20
+MOST_ITEM_BYTES = 8 << 20
 _NOT_COUNTED = re.compile(r"[\W_]+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -67,6 +67,8 @@ class Index:
     starts: np.ndarray
     items: np.ndarray
     weights: np.ndarray
+    block_starts: np.ndarray
+    blocks: np.ndarray
     bounds: np.ndarray
     thresholds: np.ndarray
     places: np.ndarray
@@ -95,9 +97,11 @@ def build(ids: list[int], texts: list[str], gram: int = GRAM) -> Index | None:
     idf = np.log1p((len(codes) - holders + 0.5) / (holders + 0.5))
     norm = K1 * (1 - B + B * lengths / lengths.mean())
     weights = np.repeat(idf, holders) * counts * (K1 + 1) / (counts + norm[items])
-    blocks = -(-len(codes) // BLOCK)
-    bounds = np.zeros((len(terms), blocks), dtype=np.float32)
-    np.maximum.at(bounds, (np.repeat(np.arange(len(terms)), holders), items // BLOCK), weights.astype(np.float32))
+    term = np.repeat(np.arange(len(terms)), holders)
+    block = items // BLOCK
+    head = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (block[1:] != block[:-1]))))
+    bounds = np.maximum.reduceat(weights, head)
+    block_starts = np.searchsorted(term[head], np.arange(len(terms) + 1))
     thresholds = np.zeros(len(codes))
     for k, own in enumerate(grams):
         span = max(1, needed[k] - gram + 1)
@@ -105,7 +109,7 @@ def build(ids: list[int], texts: list[str], gram: int = GRAM) -> Index | None:
         weight = np.array([weights[starts[r] + np.searchsorted(items[starts[r] : starts[r + 1]], k)] for r in rank])
         thresholds[k] = _least_window(rank, weight, span)
     place_starts = np.append(at, len(flat))
-    return Index(np.array([i for i, _ in kept]), codes, needed, terms, starts, items, weights, bounds, thresholds, place, place_starts)
+    return Index(np.array([i for i, _ in kept]), codes, needed, terms, starts, items, weights, block_starts, block[head], bounds, thresholds, place, place_starts)
 
 
 def _least_window(rank: np.ndarray, weight: np.ndarray, span: int) -> float:
@@ -124,17 +128,22 @@ def _least_window(rank: np.ndarray, weight: np.ndarray, span: int) -> float:
     return least * (1 - 1e-6)
 
 
+def _slices(starts: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Places of all entries of these terms."""
+    sizes = starts[ranks + 1] - starts[ranks]
+    return np.repeat(starts[ranks] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
+
+
 def candidates(index: Index, ranks: np.ndarray) -> list[int]:
     """Items whose score for a passage of these distinct terms reaches their threshold."""
-    room = np.array([index.thresholds[k : k + BLOCK].min() for k in range(0, len(index.ids), BLOCK)])
-    open_blocks = index.bounds[ranks].sum(axis=0) >= room * (1 - 1e-5)
+    least = np.minimum.reduceat(index.thresholds, np.arange(0, len(index.ids), BLOCK))
+    at = _slices(index.block_starts, ranks)
+    open_blocks = np.bincount(index.blocks[at], index.bounds[at], minlength=len(least)) >= least * (1 - 1e-9)
     if not open_blocks.any():
         return []
-    score = np.zeros(len(index.ids))
-    sizes = index.starts[ranks + 1] - index.starts[ranks]
-    at = np.repeat(index.starts[ranks] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
+    at = _slices(index.starts, ranks)
     at = at[open_blocks[index.items[at] // BLOCK]]
-    np.add.at(score, index.items[at], index.weights[at])
+    score = np.bincount(index.items[at], index.weights[at], minlength=len(index.ids))
     return np.flatnonzero(score >= index.thresholds).tolist()
 
 

@@ -102,7 +102,7 @@ def test_batch_by_batch(spark, tmp_path):
     found, batches = set(), [sample(k + 70, 1000 * k, 60) for k in (1, 2)]
     for rows in batches:
         batch = prepared(spark, rows)
-        got = {tuple(r) for r in H.check_batch(batch, H.History.read(spark.read, path)).collect()}
+        got = {tuple(r) for r in H.check_batch(batch, H.History.read(spark, path)).collect()}
         cases = spark.createDataFrame([(d,) for _, d in got] or [(-1,)], "id bigint")
         H.History.of(batch.join(cases, "id", "left_anti")).append(path)
         found |= got
