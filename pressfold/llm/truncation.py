@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from pressfold.session import stored
 
 SHINGLE = 5
-#: Similarity that a band finds with probability 0.97; bands of rows of hashes.
-SIMILARITY, BANDS, ROWS = 0.8, 5, 3
+#: Similarity that a band finds with probability 0.985; bands of rows of hashes.
+SIMILARITY, BANDS, ROWS = 0.8, 8, 4
 #: Records of a band are kept apart by so many first characters.
 BEGINNING = 24
 #: Broken ends of one source at one length that make the length its limit.
@@ -336,7 +336,7 @@ def core_of(title: str | None, summary: str) -> str:
 
 
 def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(key, id, size): the bands of each record, apart by source and beginning."""
+    """(key, id, size): the bands of each record, apart by beginning."""
     words = _Words()
     for b in batches:
         cores, kept = [], []
@@ -351,15 +351,16 @@ def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words.clear()
         if not kept:
             continue
-        sources = b["source"].to_numpy()[kept]
-        places = np.array([_hash(str(s), c[:BEGINNING]) for s, (c, _) in zip(sources, cores, strict=True)], dtype=np.int64)
+        places = np.array([_hash(c[:BEGINNING]) for c, _ in cores], dtype=np.int64)
         keys = signatures([own for _, own in cores], words) ^ places[:, None]
         sizes = np.array([len(c) for c, _ in cores], dtype=np.int32)
         yield pd.DataFrame({"key": keys.ravel(), "id": np.repeat(b["id"].to_numpy()[kept], BANDS), "size": np.repeat(sizes, BANDS)})
 
 
 def cut_copies(records: DataFrame) -> DataFrame:
-    """(id): records that are the beginning of a longer near-copy of the same source.
+    """(id): records that are the beginning of a longer near-copy, of any source.
+
+    A finished sentence is a cut only beside a longer copy of its own source.
 
     Every band keeps its longest record, found by partial aggregation, so a
     band with a third of all rows costs no more than others; each record is
@@ -371,19 +372,19 @@ def cut_copies(records: DataFrame) -> DataFrame:
     longest = longest.where("least < top.size").select("key", F.col("top.size").alias("top_size"), F.col("top.id").alias("top"))
     pairs = stored(bands.join(longest, "key").where("size < top_size").select("id", "top").distinct())
     wanted = pairs.select("id").unionByName(pairs.select(F.col("top").alias("id"))).distinct()
-    texts = own.join(wanted, "id", "left_semi").select("id", "title", "summary")
-    both = pairs.join(texts, "id").join(texts.select(F.col("id").alias("top"), F.col("title").alias("top_title"), F.col("summary").alias("top_summary")), "top")
-    return both.select("id", "title", "summary", "top_title", "top_summary").mapInPandas(_aligned, "id bigint").distinct()
+    texts = own.join(wanted, "id", "left_semi")
+    both = pairs.join(texts, "id").join(texts.select(F.col("id").alias("top"), F.col("source").alias("top_source"), F.col("title").alias("top_title"), F.col("summary").alias("top_summary")), "top")
+    return both.select("id", "title", "summary", "top_title", "top_summary", (F.col("source") == F.col("top_source")).alias("own_source")).mapInPandas(_aligned, "id bigint").distinct()
 
 
 def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(id) of the pairs whose first record ends where the second, alike otherwise, goes on."""
     for b in batches:
         kept = []
-        for title, summary, top_title, top_summary in zip(b["title"], b["summary"], b["top_title"], b["top_summary"], strict=True):
+        for title, summary, top_title, top_summary, own_source in zip(b["title"], b["summary"], b["top_title"], b["top_summary"], b["own_source"], strict=True):
             core, whole = core_of(title, summary), core_of(top_title, top_summary)
             alike = len(core.split()) - SHINGLE + 1 >= SIMILARITY * (len(whole.split()) - SHINGLE + 1)
-            kept.append(alike and whole.startswith(core) and bool(_WORD.search(whole[len(core) :])))
+            kept.append((own_source or not _END.search(core)) and alike and whole.startswith(core) and bool(_WORD.search(whole[len(core) :])))
         yield b.loc[kept, ["id"]]
 
 

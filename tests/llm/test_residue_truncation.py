@@ -96,3 +96,16 @@ def test_signatures_find_near_copies():
         a, b = T.signatures([one, one[:54]], T._Words())
         found += bool(set(a.tolist()) & set(b.tolist()))
     assert found >= 190
+
+
+WHOLE = "Seven teams moved their nightly jobs to the new cluster and none of them lost a run in spring"
+
+
+def cut_ids(spark, rows):
+    table = spark.createDataFrame([(i, source, title, summary, None) for i, source, title, summary in rows], "id bigint, source bigint, title string, summary string, link string")
+    return sorted({r.id for r in T.cut_copies(table).collect()})
+
+
+def test_copies_of_other_sources(spark):
+    rows = [(1, 1, "A headline", WHOLE + " and summer."), (2, 2, "A headline", WHOLE), (3, -1, "A headline", WHOLE + " and"), (4, 2, "A headline", WHOLE + " and summer.")]
+    assert cut_ids(spark, rows) == [2, 3]
