@@ -1,9 +1,8 @@
 """Texts that were cut off, and how often each source cuts.
 
-First near-copies: headline and summary are banded by min-hash of their
-five-word shingles, and within a band a record that is the beginning of a
-longer one is a cut copy, which the two texts themselves decide. All other texts are judged by
-their end. Broken characters, entities, tags, addresses and open brackets show
+First copies: a record whose headline and summary are the beginning of a longer
+record is a cut copy, found exactly by the hashes of all beginnings. All other
+texts are judged by their end. Broken characters, entities, tags, addresses and open brackets show
 a cut; a mark (``...``, ``Read more``) shows one if no finished sentence stands
 before it. A text that just stops is judged by its closing word: how often the
 corpus ends a sentence or a headline with it, alone and in sentences that begin
@@ -16,6 +15,7 @@ are left out; a null source is a source of its own; repeated rows give one row.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -32,8 +32,6 @@ from pressfold.session import stored
 SHINGLE = 5
 #: Similarity that a band finds with probability 0.985; bands of rows of hashes.
 SIMILARITY, BANDS, ROWS = 0.8, 8, 4
-#: Records of a band are kept apart by so many first characters.
-BEGINNING = 24
 #: Broken ends of one source at one length that make the length its limit.
 LIMIT_ROWS = 3
 #: The catalogue's own cuts: a summary of so many characters with three dots, a title of so many characters.
@@ -335,57 +333,71 @@ def core_of(title: str | None, summary: str) -> str:
     return f"{re.sub(r'[\W_]+', '', title.lower()) if title else ''}\n{without_mark(summary)}"
 
 
-def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(key, id, size): the bands of each record, apart by beginning."""
-    words = _Words()
+def finished(text: str) -> bool:
+    """Whether a text ends in a finished sentence."""
+    return not text[-1:].isalnum() and bool(_END.search(text[-12:]))
+
+
+def _least(count: int) -> int:
+    """Words before the last of the shortest beginning that is similar to a core of so many words."""
+    return max(SHINGLE, math.ceil(SIMILARITY * (count - SHINGLE + 1)) + SHINGLE - 1) - 1
+
+
+def _key(begin: bytes, end: str, source: int) -> int:
+    return xxhash.xxh3_64_intdigest(begin, seed=source + 2 if finished(end) else 0) - (1 << 63)
+
+
+def _heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(key, id, size): whole words that begin a core, at each place where a similar copy may have been cut."""
+    for b in batches:
+        keys, ids, sizes = [], [], []
+        for key, title, summary in zip(b["id"], b["title"], b["summary"], strict=True):
+            words = core_of(title, summary).lower().split()
+            if len(words) < SHINGLE:
+                continue
+            size = sum(map(len, words)) + len(words) - 1
+            least = _least(len(words))
+            begin = " ".join(words[:least])
+            for word in words[least:]:
+                keys.append(_hash(begin))
+                ids.append(key)
+                sizes.append(size)
+                begin = f"{begin} {word}"
+        yield pd.DataFrame({"key": np.array(keys, dtype=np.int64), "id": np.array(ids, dtype=np.int64), "size": np.array(sizes, dtype=np.int32)})
+
+
+def _cuts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(key, id): the whole core of each record; without an id, every beginning of it that would be a cut copy."""
     for b in batches:
-        cores, kept = [], []
-        for k, (title, summary) in enumerate(zip(b["title"], b["summary"], strict=True)):
-            core = core_of(title, summary)
-            if core.count(" ") >= SHINGLE - 1:
-                own = core.split()
-                if len(own) >= SHINGLE:
-                    cores.append((core, own))
-                    kept.append(k)
-        if len(words) > 1 << 20:
-            words.clear()
-        if not kept:
-            continue
-        places = np.array([_hash(c[:BEGINNING]) for c, _ in cores], dtype=np.int64)
-        keys = signatures([own for _, own in cores], words) ^ places[:, None]
-        sizes = np.array([len(c) for c, _ in cores], dtype=np.int32)
-        yield pd.DataFrame({"key": keys.ravel(), "id": np.repeat(b["id"].to_numpy()[kept], BANDS), "size": np.repeat(sizes, BANDS)})
+        keys, ids, places = [], [], set()
+        for key, source, title, summary in zip(b["id"], b["source"], b["title"], b["summary"], strict=True):
+            words = core_of(title, summary).lower().split()
+            if len(words) < SHINGLE:
+                continue
+            text = " ".join(words)
+            keys.append(_key(text.encode("utf-8", "surrogatepass"), text, source))
+            ids.append(key)
+            for at in range(len(" ".join(words[: _least(len(words))])) + 2, len(text)):
+                if text[at - 1] != " " and _WORD.search(text, at):
+                    places.add(_key(text[:at].encode("utf-8", "surrogatepass"), text[:at], source))
+        yield pd.DataFrame({"key": np.array([*keys, *places], dtype=np.int64), "id": pd.array([*ids, *[None] * len(places)], dtype="Int64")})
 
 
 def cut_copies(records: DataFrame) -> DataFrame:
-    """(id): records that are the beginning of a longer near-copy, of any source.
+    """(id): records that are the beginning of a longer similar record, of any source.
 
-    A finished sentence is a cut only beside a longer copy of its own source.
-
-    Every band keeps its longest record, found by partial aggregation, so a
-    band with a third of all rows costs no more than others; each record is
-    then compared with the longest of its bands.
+    Exact: the hash of a record's whole core is looked up among the hashes of
+    all beginnings of the others, so no partner is chosen and no group is
+    compared pair by pair. Whole words come first; only records that share
+    theirs with a text of another length are looked at by characters. A
+    finished sentence is a cut only beside a longer copy of its own source.
     """
     own = records.where("summary is not null and trim(summary) <> ''").select("id", "source", "title", "summary")
-    bands = stored(own.mapInPandas(_bands, "key bigint, id bigint, size int"))
-    longest = bands.groupBy("key").agg(F.max(F.struct("size", "id")).alias("top"), F.min("size").alias("least"))
-    longest = longest.where("least < top.size").select("key", F.col("top.size").alias("top_size"), F.col("top.id").alias("top"))
-    pairs = stored(bands.join(longest, "key").where("size < top_size").select("id", "top").distinct())
-    wanted = pairs.select("id").unionByName(pairs.select(F.col("top").alias("id"))).distinct()
-    texts = own.join(wanted, "id", "left_semi")
-    both = pairs.join(texts, "id").join(texts.select(F.col("id").alias("top"), F.col("source").alias("top_source"), F.col("title").alias("top_title"), F.col("summary").alias("top_summary")), "top")
-    return both.select("id", "title", "summary", "top_title", "top_summary", (F.col("source") == F.col("top_source")).alias("own_source")).mapInPandas(_aligned, "id bigint").distinct()
-
-
-def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(id) of the pairs whose first record ends where the second, alike otherwise, goes on."""
-    for b in batches:
-        kept = []
-        for title, summary, top_title, top_summary, own_source in zip(b["title"], b["summary"], b["top_title"], b["top_summary"], b["own_source"], strict=True):
-            core, whole = core_of(title, summary), core_of(top_title, top_summary)
-            alike = len(core.split()) - SHINGLE + 1 >= SIMILARITY * (len(whole.split()) - SHINGLE + 1)
-            kept.append((own_source or not _END.search(core)) and alike and whole.startswith(core) and bool(_WORD.search(whole[len(core) :])))
-        yield b.loc[kept, ["id"]]
+    heads = stored(own.select("id", "title", "summary").mapInPandas(_heads, "key bigint, id bigint, size int"))
+    shared = heads.groupBy("key").agg(F.min("size").alias("least"), F.max("size").alias("most")).where("least < most").select("key")
+    wanted = heads.join(shared, "key", "left_semi").select("id").distinct()
+    cuts = stored(own.join(wanted, "id", "left_semi").mapInPandas(_cuts, "key bigint, id bigint"))
+    return cuts.where("id is not null").join(cuts.where("id is null").select("key"), "key", "left_semi").select("id").distinct()
 
 
 #: A closing word must have ended so many unfinished texts, and half of what begins alike, to be an end without a full stop.

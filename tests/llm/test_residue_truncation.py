@@ -109,3 +109,9 @@ def cut_ids(spark, rows):
 def test_copies_of_other_sources(spark):
     rows = [(1, 1, "A headline", WHOLE + " and summer."), (2, 2, "A headline", WHOLE), (3, -1, "A headline", WHOLE + " and"), (4, 2, "A headline", WHOLE + " and summer.")]
     assert cut_ids(spark, rows) == [2, 3]
+
+
+def test_copies_beside_longer_texts_of_their_group(spark):
+    rows = [(1, 1, "A headline", WHOLE + " and summer."), (2, 1, "A headline", WHOLE + " and sum"), (3, 1, "A headline", WHOLE + " and summer. " + "More was said of it. " * 9)]
+    rows += [(10 + k, 1, "A headline", f"{WHOLE} or{k} autumns.") for k in range(60)]
+    assert cut_ids(spark, rows) == [2]
