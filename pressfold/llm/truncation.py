@@ -1,8 +1,10 @@
 """Texts that were cut off, and how often each source cuts.
 
 First copies: a record whose headline and summary are the beginning of a longer
-record is a cut copy, found exactly by the hashes of all beginnings. All other
-texts are judged by their end. Broken characters, entities, tags, addresses and open brackets show
+record is a cut copy, found exactly by the hashes of all beginnings. Near-copies
+with other differences are banded by min-hash of their five-word shingles, the
+words of each field aligned, and the copy whose alignment ends early is cut. All
+other texts are judged by their end. Broken characters, entities, tags, addresses and open brackets show
 a cut; a mark (``...``, ``Read more``) shows one if no finished sentence stands
 before it. A text that just stops is judged by its closing word: how often the
 corpus ends a sentence or a headline with it, alone and in sentences that begin
@@ -299,8 +301,8 @@ class _Words(dict):
         return found
 
 
-def signatures(texts: list[list[str]], words: _Words) -> np.ndarray:
-    """The hashes of the bands of each text, which must have ``SHINGLE`` words or more."""
+def signatures(texts: list[list[str]], words: _Words, heads: list[int] | None = None) -> np.ndarray:
+    """The hashes of the bands of each text, which must have a shingle; none spans the first ``heads`` words and the rest."""
     counts = np.array([len(t) for t in texts])
     codes = np.fromiter((words[w] for t in texts for w in t), dtype=np.uint64, count=int(counts.sum()))
     rolled = np.zeros(len(codes) - SHINGLE + 1, dtype=np.uint64)
@@ -310,8 +312,14 @@ def signatures(texts: list[list[str]], words: _Words) -> np.ndarray:
     ends = np.cumsum(counts)
     place = np.arange(len(rolled))
     inside = place <= np.repeat(ends - SHINGLE, counts)[: len(rolled)]
-    shingles = rolled[inside]
     sizes = counts - SHINGLE + 1
+    if heads is not None:
+        first = np.array(heads)
+        own = np.maximum(first - SHINGLE + 1, 0)
+        begins = ends - counts
+        inside = ((place >= np.repeat(begins + first, counts)[: len(rolled)]) & inside) | (place < np.repeat(begins + own, counts)[: len(rolled)])
+        sizes = own + np.maximum(counts - first - SHINGLE + 1, 0)
+    shingles = rolled[inside]
     at = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     bands = np.zeros((len(texts), BANDS), dtype=np.uint64)
     for k in range(BANDS * ROWS):
@@ -400,6 +408,138 @@ def cut_copies(records: DataFrame) -> DataFrame:
     return cuts.where("id is not null").join(cuts.where("id is null").select("key"), "key", "left_semi").select("id").distinct()
 
 
+def near_words(title: str | None, summary: str | None) -> dict[str, list[str]]:
+    """The words of both fields as near-copies are compared, by field."""
+    return {"t": without_mark(title or "").lower().split(), "s": without_mark(summary or "").lower().split()}
+
+
+def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(band, id, text): the bands of each record and the hash of its words."""
+    words = _Words()
+    for b in batches:
+        texts, heads, kept = [], [], []
+        for k, (title, summary) in enumerate(zip(b["title"], b["summary"], strict=True)):
+            parts = near_words(title, summary)
+            if max(map(len, parts.values())) >= SHINGLE:
+                texts.append(parts["t"] + parts["s"])
+                heads.append(len(parts["t"]))
+                kept.append(k)
+        if len(words) > 1 << 20:
+            words.clear()
+        if not kept:
+            continue
+        digests = np.array([_hash(" ".join(t[:n]), " ".join(t[n:])) for t, n in zip(texts, heads, strict=True)], dtype=np.int64)
+        yield pd.DataFrame({"band": signatures(texts, words, heads).ravel(), "id": np.repeat(b["id"].to_numpy()[kept], BANDS), "text": np.repeat(digests, BANDS)})
+
+
+def _place(field: str, before: list[str], word: str) -> int:
+    return _hash(field, *before[-3:], word)
+
+
+def _inner(parts: dict[str, list[str]]) -> Iterator[int]:
+    """Keys of all places where a similar copy of the record may have been cut: words before, beginning of the word there."""
+    lost = math.ceil((1 - SIMILARITY) * max(sum(map(len, parts.values())) - SHINGLE + 1, 1)) + 1
+    for field, words in parts.items():
+        for at in range(max(1, len(words) - 1 - lost), len(words)):
+            word = words[at]
+            for stop in range(1, len(word) + (at + 1 < len(words))):
+                yield _place(field, words[:at], word[:stop])
+
+
+def _ends_and_places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(place, id, field): the end of each field; without an id, the places within any."""
+    for b in batches:
+        keys, ids, fields, places = [], [], [], set()
+        for key, title, summary in zip(b["id"], b["title"], b["summary"], strict=True):
+            parts = near_words(title, summary)
+            for field, words in parts.items():
+                if len(words) > 1:
+                    keys.append(_place(field, words[:-1], words[-1]))
+                    ids.append(key)
+                    fields.append(field)
+            places.update(_inner(parts))
+        none = [None] * len(places)
+        yield pd.DataFrame({"place": np.array([*keys, *places], dtype=np.int64), "id": pd.array([*ids, *none], dtype="Int64"), "field": [*fields, *none]})
+
+
+def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(place, top): the places within each record."""
+    for b in batches:
+        found = [(place, key) for key, title, summary in zip(b["id"], b["title"], b["summary"], strict=True) for place in set(_inner(near_words(title, summary)))]
+        yield pd.DataFrame(found, columns=["place", "top"]).astype("int64")
+
+
+def _shingles(parts: dict[str, list[str]]) -> set[tuple[str, ...]]:
+    return {tuple(words[k : k + SHINGLE]) for words in parts.values() for k in range(len(words) - SHINGLE + 1)}
+
+
+def ends_early(words: list[str], whole: list[str], title: bool) -> bool:
+    """Whether the best alignment of ``words`` ends within ``whole``, at a cut.
+
+    Words are edited at cost 1; the last word must be the word it meets or its
+    beginning, after the same word. Between words a headline is cut only if a
+    word follows at once: behind a divider stands a label.
+    """
+    if len(words) < 2:
+        return False
+    last, row = words[-1], list(range(len(whole) + 1))
+    for k, word in enumerate(words[:-1], 1):
+        ahead, row[0] = row[0], k
+        for at, other in enumerate(whole, 1):
+            ahead, row[at] = row[at], min(ahead + (word != other), row[at] + 1, row[at - 1] + 1)
+    least = min(row)
+    for at in range(1, len(whole)):
+        rest = whole[at][len(last) :]
+        if row[at] != least or whole[at - 1] != words[-2] or not whole[at].startswith(last):
+            continue
+        if rest[:1].isalnum() and last[-1:].isalnum() or (not title and _WORD.search(" ".join([rest, *whole[at + 1 :]]))):
+            return least <= (1 - SIMILARITY) * len(words)
+        if title and not rest and at + 1 < len(whole) and whole[at + 1][0].isalnum():
+            return least <= (1 - SIMILARITY) * len(words)
+    return False
+
+
+def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(id, field) of the pairs that are similar and whose first text ends early."""
+    for b in batches:
+        kept = []
+        for field, title, summary, top_title, top_summary, own_source in zip(*(b[c] for c in ("field", "title", "summary", "top_title", "top_summary", "own_source")), strict=True):
+            one, other = near_words(title, summary), near_words(top_title, top_summary)
+            early = (own_source or not finished(" ".join(one[field]))) and ends_early(one[field], other[field], field == "t")
+            if early:
+                a, z = _shingles(one), _shingles(other)
+                early = len(a & z) >= SIMILARITY * len(a | z)
+            kept.append(bool(early))
+        yield b.loc[kept, ["id", "field"]]
+
+
+def near_copies(records: DataFrame, known: DataFrame) -> DataFrame:
+    """(id, field): fields whose alignment with a near-copy of the record ends early; ``known`` (id, field) need not be found again.
+
+    Only records that share a band with another text take part. An end that
+    stands nowhere within another text has no partner; the others meet the
+    records that have the same band and the end's place within, each pair of
+    which is verified. Both keys are equi-joined, without a cap.
+    """
+    own = records.where("title is not null or summary is not null").select("id", "source", "title", "summary")
+    bands = stored(own.select("id", "title", "summary").mapInPandas(_bands, "band bigint, id bigint, text bigint"))
+    shared = bands.groupBy("band").agg(F.min("text").alias("least"), F.max("text").alias("most")).where("least < most").select("band")
+    bands = stored(bands.join(shared, "band", "left_semi").select("band", "id"))
+    members = own.join(bands.select("id").distinct(), "id", "left_semi")
+    found = stored(members.select("id", "title", "summary").mapInPandas(_ends_and_places, "place bigint, id bigint, field string"))
+    ends = found.where("id is not null").join(known, ["id", "field"], "left_anti")
+    ends = stored(ends.join(found.where("id is null").select("place"), "place", "left_semi").distinct())
+    asked = ends.join(bands, "id").select("id", "field", "place", "band").distinct()
+    tops = bands.join(asked.select("band").distinct(), "band", "left_semi").select("band", F.col("id").alias("top")).distinct()
+    texts = members.select(F.col("id").alias("top"), "source", "title", "summary")
+    within = members.join(tops.select(F.col("top").alias("id")).distinct(), "id", "left_semi").select("id", "title", "summary").mapInPandas(_places, "place bigint, top bigint")
+    within = within.join(ends.select("place").distinct(), "place", "left_semi").join(tops, "top")
+    pairs = stored(asked.join(within, ["band", "place"]).where("id <> top").select("id", "field", "top").distinct())
+    texts = texts.select("top", F.col("source").alias("top_source"), F.col("title").alias("top_title"), F.col("summary").alias("top_summary"))
+    both = pairs.join(members, "id").join(texts, "top").withColumn("own_source", F.col("source") == F.col("top_source"))
+    return both.select("id", "field", "title", "summary", "top_title", "top_summary", "own_source").mapInPandas(_aligned, "id bigint, field string").distinct()
+
+
 #: A closing word must have ended so many unfinished texts, and half of what begins alike, to be an end without a full stop.
 UNFINISHED = 5
 #: Share of all headlines that a word must end to be an end if it is never seen within one.
@@ -444,7 +584,9 @@ def truncated(records: DataFrame, left_out: DataFrame | None = None) -> DataFram
     limits = sums.where((F.col("cuts") >= LIMIT_ROWS) & (F.col("cuts") >= 0.6 * F.col("all"))).select("source", "field", "size").withColumn("limit", F.lit(True))
     by_end = judged.join(limits, ["source", "field", "size"], "left").where("cut or (limit and (not title or rate < 0.05))").select("id", "source", "field")
     copies = own.join(cut_copies(own), "id", "left_semi").select("id", "source", F.lit("s").alias("field"))
-    cases = by_end.unionByName(copies).distinct()
+    cases = stored(by_end.unionByName(copies).distinct())
+    near = near_copies(own, cases.select("id", "field"))
+    cases = cases.unionByName(own.join(near, "id").select("id", "source", "field")).distinct()
     if left_out is not None:
         cases = cases.join(left_out.select("id"), "id", "left_anti")
     return cases.select("id", F.when(F.col("field") == "s", "summary").otherwise("title").alias("field_name"), "source")

@@ -115,3 +115,14 @@ def test_copies_beside_longer_texts_of_their_group(spark):
     rows = [(1, 1, "A headline", WHOLE + " and summer."), (2, 1, "A headline", WHOLE + " and sum"), (3, 1, "A headline", WHOLE + " and summer. " + "More was said of it. " * 9)]
     rows += [(10 + k, 1, "A headline", f"{WHOLE} or{k} autumns.") for k in range(60)]
     assert cut_ids(spark, rows) == [2]
+
+
+def test_near_copies_are_aligned(spark):
+    more = WHOLE + " and summer while the old cluster was kept for tests that need special disks and for nothing else."
+    rows = [
+        (1, 1, "How teams moved nightly jobs to the cluster", more), (2, 1, "[New] How teams moved nightly jobs to the cluster", more.replace("nightly", "Nightly").replace("Seven", "Eight")[:-6]), (3, 1, None, more[:-9]),
+        (4, 2, "How teams moved nightly jobs to the clu", more), (5, 1, "How teams moved nightly jobs to the cluster - Acme Labs", more), (6, 1, "How teams moved nightly jobs to the cluster", more.replace("kept", "held")),
+    ]
+    table = spark.createDataFrame(rows, "id bigint, source bigint, title string, summary string")
+    found = {(r.id, r.field) for r in T.near_copies(table, spark.createDataFrame([], "id bigint, field string")).collect()}
+    assert found == {(2, "s"), (3, "s"), (4, "t")}
