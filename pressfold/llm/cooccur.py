@@ -2,8 +2,8 @@
 
 Every record's distinct items are turned into pairs, a pair into one 64-bit
 code. Each task sorts its codes in runs of bounded size, counts equal codes
-next to each other and spills (code, count); Spark's sort shuffle merges the
-runs by code, and the counts of equal codes are added up. An item paired with
+next to each other and spills (code, count). Across runs a hash aggregation adds
+up the counts of equal codes, in place of a merge of the runs. An item paired with
 itself counts the records that hold the item, so one pass gives all numbers.
 
 A record with more than ``BLOCK`` items is divided into blocks of items, and
