@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from pressfold.session import stored
 
-#: A line that a host has at least so often, and in this share of its fields, is boilerplate.
-RECURRENT, RECURRENT_SHARE = 3, 0.002
+#: A line that a host has at least so often is boilerplate, however large the host.
+RECURRENT = 3
 
 # Notices and their wording.
 _STATUS = r"bad request|unauthori[sz]ed|forbidden|not found|gone|too many requests|internal server error|bad gateway|service unavailable|gateway time-?out|page not found|file not found|server error"
@@ -207,8 +207,7 @@ def residue(records: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     lines = stored(lines)
     # partial counts are made before the shuffle, so a host with most of the rows is no heavier than others
     recurrent = lines.where("kind = 0").groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= RECURRENT)
-    sizes = lines.groupBy("host").agg(F.count("*").alias("fields"))
-    boilerplate = recurrent.join(sizes, "host").where(F.col("n") >= RECURRENT_SHARE * F.col("fields")).select("host", "line").withColumn("recurs", F.lit(True))
+    boilerplate = recurrent.select("host", "line").withColumn("recurs", F.lit(True))
     fields = lines.where("kind >= 2").select("id", "field").distinct()
     suspects = lines.join(fields, ["id", "field"]).join(boilerplate, ["host", "line"], "left")
     left = F.when((F.col("kind") == 0) & F.col("recurs").isNull(), 1).otherwise(0)

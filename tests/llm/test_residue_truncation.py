@@ -126,3 +126,9 @@ def test_near_copies_are_aligned(spark):
     table = spark.createDataFrame(rows, "id bigint, source bigint, title string, summary string")
     found = {(r.id, r.field) for r in T.near_copies(table, spark.createDataFrame([], "id bigint, field string")).collect()}
     assert found == {(2, "s"), (3, "s"), (4, "t")}
+
+
+def test_taglines_of_a_large_host(spark):
+    rows = [(i, None, f"Real headline number {i}", None, "https://a.com/3", None) for i in range(10, 3000)]
+    rows += [(i, None, f"Real headline of {i} - Notes by the builders", None, "https://a.com/3", None) for i in (1, 2)] + [(3, None, "upstream timed out - Notes by the builders", None, "https://a.com/4", None)]
+    assert [r.id for r in R.residue(spark.createDataFrame(rows, ROWS)).collect()] == [3]
