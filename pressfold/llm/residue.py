@@ -4,10 +4,17 @@ Title and summary are divided into lines, at line breaks and at the marks that
 sites put between a text and their name. Every line is normalised and counted
 by host. Lines that recur on a host without being evidence themselves, names of
 the source and host names are boilerplate and subtracted; a field is a case if
-evidence is all that remains of it. Evidence must cover its line: a sentence
-that only mentions an error, a placeholder or scripts is content. A field is
-also a case if it has two placeholders of its own, or ends in one after a
-finished sentence.
+evidence is all that remains of it.
+
+What is evidence is scored by words, not by wording: words of notices have
+classes (a fault, a place, a state, a demand, scripts, slots of a template and
+what fills them), classes that meet make a notice, and the score is the part of
+the line that belongs to notices, codes and placeholders aside. A sentence
+that only mentions an error, a placeholder or scripts has other words. A line
+with a middling score is evidence if its wording stands on several hosts. Words
+that repeat are filler. A field is also a case if it has two placeholders of its
+own, or ends in one after a finished sentence. Evidence is never subtracted as
+boilerplate: a host with three error pages has three cases.
 
 Defined results: null, empty and blank fields are no cases; rows without an id
 are left out; a row without a link shares the host "" with others of its kind;
@@ -31,48 +38,46 @@ from pressfold.session import stored
 #: A line that a host has at least so often is boilerplate, however large the host.
 RECURRENT = 3
 
-# Notices and their wording.
-_STATUS = r"bad request|unauthori[sz]ed|forbidden|not found|gone|too many requests|internal server error|bad gateway|service unavailable|gateway time-?out|page not found|file not found|server error"
-_ERRORS = (
-    rf"(?:http|error|오류|에러)?\s*[45]\s?\d\s?\d(?:\s*[:—–-]?\s*(?:{_STATUS}))?",
-    rf"(?:{_STATUS})(?:\s*\([45]\d\d\))?",
-    r"(?:oops|sorry|uh oh)[!,. ]+.{0,20}?(?:could ?n.t|could not|can.?t|cannot) find (?:that|this|the) page",
-    r"the page you (?:requested|are looking for|were looking for) .{3,60}?(?:removed|renamed|moved|found|exist|deleted|unavailable)(?: or (?:removed|renamed|moved|deleted))?",
-    r"this (?:post|page|article) (?:does not exist|no longer exists|is not available|is private)(?: or (?:is|was|has been) \w+)?",
-    r"(?:sorry, )?something went wrong(?: on our (?:side|end))?", r"(?:please )?try again(?: later| in a (?:moment|few minutes))?",
-    r"access denied", r"you (?:do not|don.t) have permission to (?:view|access) this (?:resource|page)",
-    r"your session has expired, please (?:sign|log) in again", r"too many requests", r"slow down and retry",
-    r"error establishing a (?:connection to the database|database connection)", r"upstream (?:timed out|connect error|request timeout)", r"(?:net::)?err_[a-z_]{4,40}",
-    r"we.ll be (?:right )?back soon", r"(?:scheduled )?maintenance in progress", r"warning: undefined (?:index|variable|array key|offset) .{0,60}", r"(?:template|syntax|render) error: .{0,80}",
-    r"(?:[a-z_$][\w$]*\.)+[\w$]*(?:exception|error): .{0,120}", r"(?:fatal|parse) error: .{0,120}", r"traceback \(most recent call last\).*",
-    r"checking your browser(?: before you continue to| before accessing)?(?: (?:[\w-]+\.)+\w+)?", r"one moment, verifying that you are human", r"verify(?:ing)? (?:that )?you are (?:a )?human",
-    r"데이터베이스 연결에 실패했습니다", r"(?:(?:[\w-]+\.)+\w+ )?(?:접속 전 )?브라우저를 확인하고 있습니다", r"서비스 점검 중입니다", r"이용에 불편을 드려 죄송합니다", r"세션이 만료되었습니다", r"다시 로그인해 주세요",
-    r"비정상적인 접근이 감지되어 차단되었습니다", r"접근 권한이 없습니다", r"관리자에게 문의하세요", r"존재하지 않는 (?:게시글|페이지|글)입니다", r"일시적인 오류가 발생했습니다", r"잠시 후 다시 시도해 주세요",
-    r"(?:요청하신 )?페이지를 찾을 수 없습니다", r"페이지가 삭제되었거나 주소가 변경되었습니다", r"주소를 다시 확인해 주세요", r"요청이 너무 많습니다",
-)
-_SCRIPTS = (
-    r"(?:please )?(?:enable|turn on|activate|allow) java ?script(?: to (?:view|run|see|use) (?:this|the) (?:page|app|site|content))?(?: in your browser)?",
-    r"you need to (?:enable|turn on) java ?script to (?:run|view|use) this (?:app|page|site)", r"java ?script is (?:disabled|turned off|required)(?: in your browser)?", r"turn it on and reload",
-    r"this (?:site|page|app) requires (?:java ?)?scripts?", r"your browser has (?:them|it) disabled", r"loading ?(?:…|\.\.\.)", r"if nothing happens, allow scripts and cookies",
-    r"noscript ?: ?.{0,80}", r"this page does not work without scripts",
-    r"자바스크립트 사용이 꺼져 있습니다", r"설정에서 허용한 뒤 새로고침하세요", r"(?:이 사이트를 보려면 )?자바스크립트를 (?:켜야 합니다|켜 주세요|활성화해 주세요|허용해 주세요)", r"(?:브라우저에서 )?(?:javascript|자바스크립트)를 활성화해 주세요",
-    r"쿠키와 스크립트를 허용해야 본문을 볼 수 있(?:어요|습니다)", r"(?:이 페이지는 )?스크립트 없이 동작하지 않습니다", r"스크립트가 차단되어 내용을 표시할 수 없습니다",
-)
-_PROMPTS = (
-    r"[\[(<{]?\s*(?:insert|add|enter|write) (?:a |an |the |your )?(?:short )?(?:summary|intro|introduction|title|description|headline|text|content)(?: for this post)?(?: here)?\s*[\])>}]?",
-    r"your (?:headline|title|text|summary|content) (?:goes )?here", r"(?:todo|fixme|tbd) ?: ?(?:write|add|fill|insert)?.{0,40}", r"[\[(<]?(?:여기에 )?(?:요약|제목|내용|본문|설명)(?:을|를) 입력(?:하세요|해 주세요)[\])>]?",
-    r"(?:요약|제목|내용|본문|설명) 문구 작성 필요", r"담당자 확인", r"[<\[(]?(?:본문|요약|제목|내용|설명)(?: (?:본문|요약|제목|내용|설명))* 들어갈 자리[>\])]?",
-    r"undefined|null|nan|none|\[?object object\]?(?:, ?\[object object\])*", r"lorem ipsum",
-)
-PLACEHOLDER = re.compile(
-    r"\[\[\s*(?:\$\{)?[\w.]+\}?\s*\]\]|\{\s?\{\s*[\w. ]{1,40}?\s*\}\s?\}|[$#]\{\s*[\w.]{1,40}\s*\}|<%=?\s*[\w. ]{1,40}?\s*%>|\{%\s*[\w. ]{1,40}?\s*%\}"
-    r"|@@\w+(?:\.\w+)*@@|(?<!\w)__[^\W_]\w*?(?:\.\w+)*__(?!\w)|%[A-Za-z_]{3,30}%|\{\d\}"
-)
+#: A line is evidence if so many of its words belong to notices; from ``MAYBE`` on if it also stands on ``HOSTS`` hosts.
+COVERED, MAYBE, HOSTS = 0.81, 0.76, 5
+#: Copies of each boilerplate key, so that one line of many fields is looked up by several tasks.
+SALT = 16
+
+# Words of notices by what they speak of; Korean ones are beginnings of words.
+_CLASSES = {
+    "certain": "forbidden unauthorized unauthorised unavailable denied undefined null nan none nil traceback gone noscript captcha suspended blocked tbd untitled ipsum lorem 차단 만료",
+    "fault": "error errors exception fault failed failure fails fail wrong oops whoops sorry timeout timed crashed fatal warning bad invalid trouble problem maintenance construction unexpected unable refused"
+    " cannot cant couldn't can't 오류 에러 실패 점검 비정상 죄송 장애 불편",
+    "place": "page pages site website server service services gateway database connection request requests session resource url address domain post app application file account permission access upstream host proxy"
+    " template variable index view syntax parse side link content article client 페이지 서비스 서버 데이터베이스 접속 접근 권한 요청 세션 주소 게시글 게시물 관리자 담당자 사이트 글 연결 본문",
+    "state": "found exist exists removed renamed deleted moved expired disabled missing private off down many went occurred happened displayed required requires require reached limit soon progress scheduled available"
+    " back blocks unsupported support supported enabled must need needs work works looking temporarily secure processing without 찾 존재 삭제 변경 없 있 발생 꺼 않 중 일시 감지 필요 실행 동작",
+    "ask": "please enable turn activate allow try retry reload refresh again wait continue sign log login contact verify verifying checking check click proceed return moment human robot disable"
+    " 활성화 허용 켜 새로고침 로그인 시도 문의 확인 다시 잠시 해 이용 주세요 바랍니다",
+    "script": "javascript js script scripts cookies cookie browser browsers 자바스크립트 스크립트 쿠키 브라우저",
+    "slot": "document title headline summary description text copy paragraph intro introduction content body caption 제목 요약 내용 설명 본문 문구 텍스트",
+    "fill": "insert add enter write here goes placeholder todo fixme sample dummy example fill 입력 여기 자리 들어갈 작성 예시 샘플",
+    "": "a an the to of in on is are was were be been being this that it its your you we i our or and for with by at as if not no do does don't doesn't did have has had will would may any them then there some"
+    " so more than short few minutes later before after run use view see using ad blocker line id ref reference code status http https www nginx apache just too slow nothing loading client-side out up under coming internal looks like something that's we're we'll i'm one you're"
+    " 이 그 저 수 후 전 및 또는 것 에서 보려면 보 설정 사용 표시 준비 바로 이미 현재 요 합니다 입니다 됩니다",
+}
+#: Classes that make evidence when they meet.
+_MEETINGS = {frozenset(p.split()) for p in ("fault place", "fault state", "fault ask", "place state", "place ask", "script ask", "script state", "script fault", "slot fill", "slot state", "code fault", "code place", "code state", "fill place", "ask state")}
+#: Words that are evidence next to each other.
+_BIGRAMS = {("not", "found"), ("went", "wrong"), ("coming", "soon"), ("under", "construction"), ("are", "human"), ("a", "moment"), ("one", "moment"), ("a", "robot")}
 FILLER_WORDS = set(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim laborum".split()
 )
-
-_EVIDENCE = re.compile("|".join(f"(?:{p})" for p in sorted((*_ERRORS, *_SCRIPTS, *_PROMPTS), key=len, reverse=True)), re.IGNORECASE)
+PLACEHOLDER = re.compile(
+    r"\[\[\s*(?:\$\{)?[\w.]+\}?\s*\]\]|\{\s?\{\s*[\w. ]{1,40}?\s*(?:\|\s*\w+[^{}]{0,40})?\}\s?\}|[$#]\{\s*[\w.]{1,40}\s*\}|<%[=-]?\s*[\w. ]{1,40}?\s*-?%>|\{%-?\s*[\w. ]{1,40}?\s*-?%\}"
+    r"|@@\w+(?:\.\w+)*@@|(?<!\w)__[^\W_]\w*?(?:\.\w+)*__(?!\w)|%[A-Za-z_]{3,30}%|%\(\w{2,30}\)s|\{\d\}"
+)
+_SHAPED = re.compile(r"\w[.:/_]\w|[\"'`/{%@\[<$#]|\d")
+#: Shapes of code within a notice, which say nothing of its language: quoted names, paths, hosts, versions, numbers.
+_CODE = re.compile(r"'[^'\s]{1,40}'|\"[^\"\s]{1,40}\"|`[^`]{1,40}`|(?<!\w)/?(?:[\w.-]+/)+[\w.-]*|\b(?:[\w-]+\.)+[a-z]\w*|\bv?\d+(?:[.:]\d+)*\b|\b[0-9a-f]*\d[0-9a-f]{3,}\b")
+_STATUS = re.compile(r"(?<![\w.,%$])[45]\s?\d\s?\d(?![\w%]|[.,]\d)")
+_TEMPLATE = re.compile(r"[{<]|%[a-z_(>]|@@|\[\[|\[object|__")
+_THROWN = re.compile(r"(?:[a-z_$][\w$]*\.)+[\w$]*(?:exception|error)\b|\b(?:net::)?err_[a-z_]{4,40}|\[object \w+\]")
 _TAGS = re.compile(r"</?(?:p|div|span|br|b|i|em|strong|h[1-6]|li|ul|a|noscript)(?:\s[^<>]*)?/?>", re.IGNORECASE)
 _REFERENCE = re.compile(r"\s*\((?:ref|request|id|code|trace)[ :#]*[0-9a-f-]{4,40}\)", re.IGNORECASE)
 _EDGE = " \t\u00a0※*•·;|-–—"
@@ -80,14 +85,44 @@ _FACES = (":(", ":)", "ㅠㅠ", "ᅲᅲ", "ㅜㅜ")
 _PARTS = re.compile(r"\n|\s+(?:[-–—|·»]|::)\s+")
 _DIVIDERS = ("\n", " -", "|", " –", " —", "·", "»", "::")
 _HOST = re.compile(r"(?:[\w-]+\.)+[a-z]{2,}")
-_LETTER = re.compile(r"[^\W_]")
+_LETTER, _SIGN = re.compile(r"[^\W\d_]"), re.compile(r"[^\W_]")
+_DIGIT = re.compile(r"\d")
 _FINISHED = re.compile(r"(?:^|[.!?…。！？)\]\"'”’]|[다요죠음임])\s*$")
 
 
 _MARKS = re.compile(r"[{%@_\[<]")
-_PLACEHOLDER_AHEAD = re.compile(r"[^\w{%@\[<$#]*(?:" + PLACEHOLDER.pattern + ")")
 _SPACES = re.compile(r"[^\S\n]{2,}|[^\S\n ]")
-_WORDS = re.compile(r"[^\W_]+")
+_WORDS = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
+
+
+class _Kinds(dict):
+    """The class of each word a worker has met; None for words that do not belong to notices, "?" for what is no plain word."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.words = {w: kind for kind, words in reversed(_CLASSES.items()) for w in words.split()}
+        self.stems = {w: kind for w, kind in self.words.items() if "가" <= w[0] <= "힣"}
+        self.longest = max(map(len, self.stems))
+
+    def __missing__(self, word: str) -> str | None:
+        if len(self) > 1 << 20:
+            self.clear()
+        plain = word.strip(_AROUND).replace("’", "'")
+        kind = self.words.get(plain)
+        if kind is None and not plain.replace("'", "").isalpha():
+            kind = "?"
+        elif kind is None and "가" <= plain[0] <= "힣":
+            kind = next((self.stems[plain[:n]] for n in range(min(len(plain), self.longest), 0, -1) if plain[:n] in self.stems and (n > 1 or len(plain) <= 4)), None)
+        elif kind is None and "가" <= plain[-1] <= "힣":
+            kind = self.words.get(_ATTACHED.sub("", plain))
+        self[word] = kind
+        return kind
+
+
+_AROUND = ".,;:!?()[]<>…\"'“”‘’"
+#: Korean particles that follow a word in Latin letters.
+_ATTACHED = re.compile("(?:을|를|이|가|은|는|의|에|로)$")
+_KINDS = _Kinds()
 
 
 def clean(text: str) -> str:
@@ -105,29 +140,52 @@ def clean(text: str) -> str:
     return text.strip()
 
 
+def score(line: str) -> float:
+    """How much of a normalised line belongs to a notice, 0 to 1; 0 if nothing in it makes a notice."""
+    words, kinds = line.split(), _KINDS
+    if len(set(words)) > 0.8 * len(words) and FILLER_WORDS.isdisjoint(words) and not _TEMPLATE.search(line):
+        unknown, most = 0, (1 - MAYBE) * len(words)  # most lines end here
+        for word in words:
+            if kinds[word] is None:
+                unknown += 1
+                if unknown > most:
+                    return 0.0
+    words = _WORDS.findall(line)
+    if len(words) >= 3 and (len(set(words)) <= len(words) / 2 or sum(w in FILLER_WORDS for w in words) >= 0.6 * len(words) >= 2.4):
+        return 1.0
+    certain, thrown, seen = False, False, set()
+    if _SHAPED.search(line):
+        bare = PLACEHOLDER.sub(" ", line) if _MARKS.search(line) else line
+        certain = bare != line
+        if certain and not _SIGN.search(bare):
+            return 1.0
+        status, thrown = _STATUS.search(bare) is not None, _THROWN.search(bare) is not None
+        rest = _CODE.sub(" ", _THROWN.sub(" ", bare))
+        words = _WORDS.findall(rest)
+        if not words:
+            return float(thrown or (status and len(_DIGIT.findall(bare)) == 3 and not _LETTER.search(bare)))
+        certain = certain or thrown
+        if status or thrown:
+            seen.add("code")
+    if not words:
+        return 0.0
+    unknown, before = 0, ""
+    for word in words:
+        kind = kinds[word]
+        unknown += kind is None or kind == "?"
+        if kind and kind != "?":
+            seen.add(kind)
+        certain = certain or (before, word) in _BIGRAMS
+        before = word
+    known = 1 - unknown / len(words)
+    if thrown and known >= 0.6:
+        return 1.0
+    return known if known >= MAYBE and (certain or "certain" in seen or any(m <= seen for m in _MEETINGS)) else 0.0
+
+
 def evidence(line: str) -> bool:
     """Whether a normalised line is nothing but residue."""
-    rough = line.split()
-    if len(set(rough)) <= 0.8 * len(rough) or not FILLER_WORDS.isdisjoint(rough):
-        words = _WORDS.findall(line)
-        if len(words) >= 3 and len(set(words)) <= len(words) / 2:
-            return True
-        if len(words) >= 4 and sum(w in FILLER_WORDS for w in words) >= 0.6 * len(words):
-            return True
-    at, marked = 0, _MARKS.search(line) is not None
-    while found := _LETTER.search(line, at):
-        start = found.start()
-        m = (marked and _PLACEHOLDER_AHEAD.match(line, at)) or (start > at and _EVIDENCE.match(line, start - 1)) or _EVIDENCE.match(line, start)
-        if not m or m.end() <= start or not _whole(line, m):
-            return at > 0 and len(_LETTER.findall(line, at)) <= 0.1 * len(_LETTER.findall(line))
-        at = m.end()
-    return at > 0
-
-
-def _whole(line: str, m: re.Match) -> bool:
-    """The match does not begin or end inside a word."""
-    before, after = line[m.start() - 1 : m.start()], line[m.end() : m.end() + 1]
-    return not (before.isalnum() and m.group()[:1].isalnum()) and not (after.isalnum() and m.group()[-1:].isalnum())
+    return score(line) >= COVERED
 
 
 def own_placeholders(text: str) -> bool:
@@ -138,11 +196,11 @@ def own_placeholders(text: str) -> bool:
     if len(found) >= 2:
         return True
     last = found[-1]
-    return not _LETTER.search(text[last.end() :]) and bool(_FINISHED.search(text[: last.start()]))
+    return not _SIGN.search(text[last.end() :]) and bool(_FINISHED.search(text[: last.start()]))
 
 
 def lines_of(text: str | None, names: set[str]) -> tuple[bool, list[tuple[str, int]]]:
-    """Whether the field is a case by itself, and its lines as (normalised, kind): 2 evidence, 1 known boilerplate, 0 other."""
+    """Whether the field is a case by itself, and its lines as (normalised, kind): 2 evidence, 1 known boilerplate, -1 evidence if hosts share it, 0 other."""
     text = clean(text or "")
     if not text:
         return False, []
@@ -154,12 +212,15 @@ def lines_of(text: str | None, names: set[str]) -> tuple[bool, list[tuple[str, i
         while line.endswith(_FACES):
             line = line[:-2].rstrip(_EDGE)
         if line:
-            known = line in names or bool(_HOST.fullmatch(line))
-            lines.append((line, 1 if known else 2 if evidence(line) else 0))
+            if line in names or _HOST.fullmatch(line):
+                lines.append((line, 1))
+            else:
+                known = score(line)
+                lines.append((line, 2 if known >= COVERED else -1 if known else 0))
     return False, lines
 
 
-_LINES = pa.schema([("id", pa.int64()), ("field", pa.int32()), ("host", pa.int64()), ("line", pa.int64()), ("kind", pa.int32())])
+_LINES = pa.schema([("id", pa.int64()), ("field", pa.int32()), ("host", pa.int64()), ("line", pa.int64()), ("kind", pa.int32()), ("wording", pa.int64())])
 
 
 def _hash(text: str) -> int:
@@ -167,10 +228,10 @@ def _hash(text: str) -> int:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each line of a field; kind 3 for a field that is a case by itself."""
+    """A row for each line of a field; kind 3 for a field that is a case by itself; the wording, without numbers, of lines that other hosts may settle."""
     for b in batches:
         known: dict[str | None, set[str]] = {}
-        columns = ids, fields, hosts, found, kinds = [], [], [], [], []
+        columns = ids, fields, hosts, found, kinds, wordings = [], [], [], [], [], []
         for key, title, summary, link, site in zip(*(b.column(c).to_pylist() for c in ("id", "title", "summary", "link", "site")), strict=True):
             host = (link or "").strip().lower().partition("://")[2].partition("/")[0].partition(":")[0].removeprefix("www.")
             place = _hash(host)
@@ -189,6 +250,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     hosts.append(place)
                     found.append(_hash(f"{host}\x01{line}"))
                     kinds.append(kind)
+                    wordings.append(_hash(" ".join(_DIGIT.sub("", line).split())) if kind == -1 else None)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _LINES, strict=True)], schema=_LINES)
 
 
@@ -203,13 +265,19 @@ def residue(records: DataFrame, sources: DataFrame | None = None) -> DataFrame:
         own = own.withColumn("site", F.lit(None).cast("string"))
     else:
         own = own.join(sources.groupBy(F.col("id").alias("corporation_id")).agg(F.min("name").alias("site")), "corporation_id", "left")
-    lines = own.select("id", "title", "summary", "link", "site").mapInArrow(_lines, "id bigint, field int, host bigint, line bigint, kind int")
+    lines = own.select("id", "title", "summary", "link", "site").mapInArrow(_lines, "id bigint, field int, host bigint, line bigint, kind int, wording bigint")
     lines = stored(lines)
+    shared = lines.where("kind = -1").select("wording", "host").distinct().groupBy("wording").count().where(F.col("count") >= HOSTS)
+    doubtful = lines.where("kind = -1").join(shared.select("wording", F.lit(2).alias("settled")), "wording", "left")
+    settled = doubtful.select("id", "field", "host", "line", F.coalesce("settled", F.lit(0)).alias("kind"))
+    sure = lines.where("kind >= 2").select("id", "field").unionByName(settled.where("kind = 2").select("id", "field"))
+    fields = stored(sure.distinct())
+    # what else stands in these fields is content, unless it recurs on its host
+    rest = lines.where("kind = 0").select("id", "field", "host", "line").unionByName(settled.where("kind = 0").drop("kind")).join(fields, ["id", "field"], "left_semi")
+    rest = stored(rest)
     # partial counts are made before the shuffle, so a host with most of the rows is no heavier than others
-    recurrent = lines.where("kind = 0").groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= RECURRENT)
-    boilerplate = recurrent.select("host", "line").withColumn("recurs", F.lit(True))
-    fields = lines.where("kind >= 2").select("id", "field").distinct()
-    suspects = lines.join(fields, ["id", "field"]).join(boilerplate, ["host", "line"], "left")
-    left = F.when((F.col("kind") == 0) & F.col("recurs").isNull(), 1).otherwise(0)
-    verdict = suspects.groupBy("id", "field").agg(F.max("kind").alias("kind"), F.max(left).alias("content"))
-    return verdict.where("kind = 3 or content = 0").select("id").distinct()
+    counted = lines.where("kind <= 0 and kind >= -1").groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= RECURRENT)
+    boilerplate = counted.join(rest.select("host", "line").distinct(), ["host", "line"], "left_semi").select("host", "line", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    content = rest.withColumn("salt", F.pmod(F.xxhash64("id", "field"), F.lit(SALT)).cast("int")).join(boilerplate, ["host", "line", "salt"], "left_anti")
+    certain = lines.where("kind = 3").select("id")
+    return fields.join(content.select("id", "field").distinct(), ["id", "field"], "left_anti").select("id").unionByName(certain).distinct()

@@ -132,3 +132,30 @@ def test_taglines_of_a_large_host(spark):
     rows = [(i, None, f"Real headline number {i}", None, "https://a.com/3", None) for i in range(10, 3000)]
     rows += [(i, None, f"Real headline of {i} - Notes by the builders", None, "https://a.com/3", None) for i in (1, 2)] + [(3, None, "upstream timed out - Notes by the builders", None, "https://a.com/4", None)]
     assert [r.id for r in R.residue(spark.createDataFrame(rows, ROWS)).collect()] == [3]
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["Please enable JavaScript to continue.", "502 Bad Gateway nginx/1.18.0", "Service Temporarily Unavailable", "{{ post.title | upper }}", "The requested URL was not found on this server.", "Your browser does not support cookies.",
+     "Whoops, looks like something went wrong.", "Account suspended", "Session timed out, log in again", "Please verify you are not a robot", "Insert your description here", "500 - Internal Server Error", "Enter the title",
+     "서버 오류가 발생했습니다", "사이트에 접속할 수 없습니다", "내용을 입력해주세요", "제목 없음", "java.lang.IllegalStateException: null", "An unexpected error has occurred. Please contact the administrator."],
+)
+def test_residue_in_other_words(text):
+    assert R.evidence(text.lower()) or R.own_placeholders(text)
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["How we handle errors in our payment service", "JavaScript", "Error handling in Go", "Why our site was down for two hours", "A guide to browser cookies", "Writing better error messages", "서비스 장애 회고", "에러 페이지 디자인을 다시 했습니다",
+     "로그인 시스템을 다시 만든 이유", "Release notes", "Access control without tears", "503 pull requests later", "Here is what went wrong with the render loop.", "Session storage in the browser", "요약 모델을 서비스에 적용하기"],
+)
+def test_content_in_words_of_notices(text):
+    assert not R.evidence(text.lower())
+
+
+def test_wording_that_many_hosts_share(spark):
+    line = next(t for t in ("error: the zorbled page is missing", "sorry, zorbled error on this page of ours", "please try the zorbled page again later or contact us") if R.MAYBE <= R.score(t) < R.COVERED)
+    few = [(i, 1, "Fine", line, f"https://h{i % 2}.com/x", None) for i in range(6)]
+    many = [(10 + i, 1, "Fine", line + " 7", f"https://k{i}.com/x", None) for i in range(R.HOSTS)]
+    assert R.residue(spark.createDataFrame(few, ROWS)).count() == 0
+    assert R.residue(spark.createDataFrame(few + many, ROWS)).count() == len(few + many)
