@@ -41,6 +41,8 @@ CATALOGUE_LIMIT, TITLE_LIMIT = 203, 200
 
 # Marks of a cut.
 _MORE = re.compile(r"\s*(?:\[\s*(?:\.\.\.|…)\s*\]|\(\s*(?:\.\.\.|…)\s*\)|(?:\.\.\.|…)\s*(?:read more|continue reading|more|더\s?보기|계속 읽기|자세히 보기|続きを読む)\s*[»>→]?)\s*$", re.IGNORECASE)
+#: How the marks above end.
+_MORE_ENDS = "])…기egむ»>→"
 _DOTS = re.compile(r"(?<=[^\s~])(?:\.\.\.|…)$")
 _BROKEN = re.compile(r"�+$|&(?:#\d{0,6}|[a-zA-Z]{1,8})?$|<[/!]?[a-zA-Z]*(?:\s[^<>]*)?$|https?:?/{0,2}$|https?://(?:[\w-]+\.)*[\w-]*$|https?://(?:[\w-]+\.)+$")
 _COMPLETE_HOST = re.compile(r"https?://(?:[\w-]+\.)+[a-z]{2,}$", re.IGNORECASE)
@@ -169,27 +171,14 @@ class Counts:
 PLACES = "emfn"
 
 
-def _statistics(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(key, e, m, f, n): counts of one task's rows, given out whenever a million words are held."""
-    counts = Counts()
-    for b in batches:
-        for text in b["title"]:
-            if text:
-                counts.title(text)
-        for text in b["summary"]:
-            if text:
-                counts.summary(text)
-        if len(counts) > 1_000_000:
-            yield _given_out(counts)
-            counts = Counts()
-    if len(counts):
-        yield _given_out(counts)
-
-
-def _given_out(counts: Counts) -> pd.DataFrame:
+def _given_out(counts: Counts) -> pa.RecordBatch:
     table = counts.table()
     values = np.array(list(table.values()), dtype=np.int64).reshape(-1, 4)
-    return pd.DataFrame({"key": np.fromiter(table, dtype=np.int64, count=len(table))} | {p: values[:, k] for k, p in enumerate(PLACES)})
+    rest = _nothing(len(table))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(table), COUNTS, dtype=np.int32)), *rest(pa.int64(), 2), *rest(pa.string(), 1), *rest(pa.int32(), 3), *rest(pa.list_(pa.int64()), 1), pa.array(np.fromiter(table, dtype=np.int64, count=len(table))), *rest(pa.int64(), 1), *(pa.array(values[:, k]) for k in range(4))],
+        schema=_SCAN,
+    )
 
 
 def judge(field: str, text: str, other: str) -> tuple[int, list[int], int]:
@@ -206,7 +195,7 @@ def judge(field: str, text: str, other: str) -> tuple[int, list[int], int]:
     dotted = end == "…" or text.endswith("...")
     if field == "s" and end in ".!?。！？" and not dotted:
         return 0, [], size
-    if (dotted or not end.isalnum() or end in "기egむ") and _MORE.search(text):
+    if end in _MORE_ENDS and _MORE.search(text, max(0, size - 60)):
         return 2, [], size
     tail = text[-80:]
     if (end in "�&<;:/" or "&" in tail[-10:] or "<" in tail or "://" in tail or "http" in tail) and _BROKEN.search(text) and not _COMPLETE_HOST.search(text):
@@ -262,18 +251,33 @@ def _known(plain: str, around: str, name: bool) -> int:
     return -1 if longer and (name or len(plain) >= 4 or (len(plain) >= 2 and not plain.isascii())) else 0
 
 
-_ENDS = pa.schema([("id", pa.int64()), ("source", pa.int64()), ("field", pa.string()), ("size", pa.int32()), ("verdict", pa.int32()), ("keys", pa.list_(pa.int64())), ("known", pa.int32())])
+_SCAN = pa.schema(
+    [("kind", pa.int32()), ("id", pa.int64()), ("source", pa.int64()), ("field", pa.string()), ("size", pa.int32()), ("verdict", pa.int32()), ("known", pa.int32()), ("keys", pa.list_(pa.int64())), ("key", pa.int64()), ("head", pa.int64())]
+    + [(p, pa.int64()) for p in PLACES]
+)
+ENDS, KEYS, COUNTS = 0, 1, 2
+
 
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One pass over the texts for all that is asked of them.
 
-def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each field that has not certainly ended: 2 or a judgement by counts."""
+    ENDS: a field that has not certainly ended, the keys that judge it and their
+    hash. KEYS: the bands of a record, the hash of its words and of the first of
+    them. COUNTS: counts of words, given out whenever a million are held.
+    """
+    counts, words = Counts(), _Words()
     for b in batches:
-        columns = ids, sources, fields, sizes, verdicts, asked, knowns = [], [], [], [], [], [], []
+        columns = ids, sources, fields, sizes, verdicts, knowns, asked, hashes = [], [], [], [], [], [], [], []
+        texts, firsts, owners, heads = [], [], [], []
         for key, source, title, summary, link in zip(*(b.column(c).to_pylist() for c in ("id", "source", "title", "summary", "link")), strict=True):
             slug = ""
             if link:
                 slug = link.partition("://")[2].partition("/")[2].translate(_SLUG).rpartition(" ")[0]
                 slug = slug if slug.count(" ") < 3 else ""  # a longer one is the headline itself, cut where that was cut
+            if title:
+                counts.title(title)
+            if summary:
+                counts.summary(summary)
             for code, text, other in (("t", title, summary), ("s", summary, title)):
                 if not text or text.isspace():
                     continue
@@ -284,12 +288,49 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     fields.append(code)
                     sizes.append(size)
                     verdicts.append(verdict)
-                    asked.append(keys[:5])
                     knowns.append(keys[5] if keys else 0)
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ENDS, strict=True)], schema=_ENDS)
+                    asked.append(keys[:5])
+                    hashes.append(hash(tuple(keys[:5])))
+            parts = near_words(title, summary)
+            if max(map(len, parts.values())) >= SHINGLE:
+                texts.append(parts["t"] + parts["s"])
+                firsts.append(len(parts["t"]))
+                owners.append(key)
+                heads.append(_head(title, parts["s"]))
+        rest = _nothing(len(ids))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(ids), ENDS, dtype=np.int32)), *(pa.array(c, f.type) for c, f in zip(columns[:7], list(_SCAN)[1:8], strict=True)), pa.array(hashes, pa.int64()), *rest(pa.int64(), 5)], schema=_SCAN
+        )
+        if texts:
+            digests = [_hash(" ".join(t[:n]), " ".join(t[n:])) for t, n in zip(texts, firsts, strict=True)]
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), pa.array(signatures(texts, words, firsts).ravel()))
+            rest = _nothing(len(texts))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(texts), KEYS, dtype=np.int32)), pa.array(owners, pa.int64()), *rest(pa.int64(), 1), *rest(pa.string(), 1), *rest(pa.int32(), 3), bands, pa.array(digests, pa.int64()), pa.array(heads, pa.int64()), *rest(pa.int64(), 4)],
+                schema=_SCAN,
+            )
+        if len(words) > 1 << 20:
+            words.clear()
+        if len(counts) > 1_000_000:
+            yield _given_out(counts)
+            counts = Counts()
+    if len(counts):
+        yield _given_out(counts)
+
+
+def _nothing(rows: int):  # noqa: ANN202
+    return lambda kind, columns: [pa.nulls(rows, kind)] * columns
+
 
+def _head(title: str | None, summary: list[str]) -> int | None:
+    """The words that a record shares with every cut copy of it; None for records too short to have one."""
+    first = [letters] if title and (letters := _OTHER.sub("", title.lower())) else []
+    return _hash(" ".join((first + summary[: SHINGLE - 1])[: SHINGLE - 1])) if summary and len(first) + len(summary) >= SHINGLE else None
 
+
+_OTHER = re.compile(r"[\W_]+")
 _SLUG = str.maketrans("-/_?&=+", "       ")
+_SCAN_SQL = "kind int, id bigint, source bigint, field string, size int, verdict int, known int, keys array<bigint>, key bigint, head bigint, " + ", ".join(f"{p} bigint" for p in PLACES)
 _SEEDS = np.random.default_rng(20).integers(1, 1 << 63, size=(2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
 
 
@@ -332,13 +373,19 @@ def signatures(texts: list[list[str]], words: _Words, heads: list[int] | None =
 
 def without_mark(text: str) -> str:
     """A text without the mark of a cut or a broken character at its end."""
-    text = _MORE.sub("", text.rstrip())
-    return re.sub(r"(?:\.\.\.|…|�)+$", "", text).rstrip()
+    text = text.rstrip()
+    if text[-1:] in _MORE_ENDS:
+        found = _MORE.search(text, max(0, len(text) - 60))
+        text = text[: found.start()].rstrip() if found else text
+    return text if text[-1:].isalnum() or not text.endswith(("...", "…", "�")) else _MARK_TAIL.sub("", text).rstrip()
+
+
+_MARK_TAIL = re.compile(r"(?:\.\.\.|…|�)+$")
 
 
 def core_of(title: str | None, summary: str) -> str:
     """What is compared of a record: the letters of its headline, then its summary without a mark."""
-    return f"{re.sub(r'[\W_]+', '', title.lower()) if title else ''}\n{without_mark(summary)}"
+    return f"{_OTHER.sub('', title.lower()) if title else ''}\n{without_mark(summary)}"
 
 
 def finished(text: str) -> bool:
@@ -391,16 +438,26 @@ def _cuts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"key": np.array([*keys, *places], dtype=np.int64), "id": pd.array([*ids, *[None] * len(places)], dtype="Int64")})
 
 
-def cut_copies(records: DataFrame) -> DataFrame:
+def scanned(records: DataFrame) -> DataFrame:
+    """The rows of ``_scan`` over records (id, source, title, summary, link), written once."""
+    return stored(records.select("id", "source", "title", "summary", "link").mapInArrow(_scan, _SCAN_SQL))
+
+
+def cut_copies(records: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """(id): records that are the beginning of a longer similar record, of any source.
 
     Exact: the hash of a record's whole core is looked up among the hashes of
     all beginnings of the others, so no partner is chosen and no group is
-    compared pair by pair. Whole words come first; only records that share
-    theirs with a text of another length are looked at by characters. A
-    finished sentence is a cut only beside a longer copy of its own source.
+    compared pair by pair. First the records that share their first words with
+    another text are found, then those that share whole words with a text of
+    another length; only these are looked at by characters. A finished sentence
+    is a cut only beside a longer copy of its own source.
     """
     own = records.where("summary is not null and trim(summary) <> ''").select("id", "source", "title", "summary")
+    keys = scanned(records.withColumn("link", F.lit(None).cast("string"))).where(F.col("kind") == KEYS) if keys is None else keys
+    begun = keys.where("head is not null").select("id", "head", F.col("key").alias("text"))
+    alike = begun.groupBy("head").agg(F.min("text").alias("least"), F.max("text").alias("most")).where("least < most").select("head")
+    own = stored(own.join(begun.join(alike, "head", "left_semi").select("id").distinct(), "id", "left_semi"))
     heads = stored(own.select("id", "title", "summary").mapInPandas(_heads, "key bigint, id bigint, size int"))
     shared = heads.groupBy("key").agg(F.min("size").alias("least"), F.max("size").alias("most")).where("least < most").select("key")
     wanted = heads.join(shared, "key", "left_semi").select("id").distinct()
@@ -413,60 +470,24 @@ def near_words(title: str | None, summary: str | None) -> dict[str, list[str]]:
     return {"t": without_mark(title or "").lower().split(), "s": without_mark(summary or "").lower().split()}
 
 
-def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(band, id, text): the bands of each record and the hash of its words."""
-    words = _Words()
-    for b in batches:
-        texts, heads, kept = [], [], []
-        for k, (title, summary) in enumerate(zip(b["title"], b["summary"], strict=True)):
-            parts = near_words(title, summary)
-            if max(map(len, parts.values())) >= SHINGLE:
-                texts.append(parts["t"] + parts["s"])
-                heads.append(len(parts["t"]))
-                kept.append(k)
-        if len(words) > 1 << 20:
-            words.clear()
-        if not kept:
-            continue
-        digests = np.array([_hash(" ".join(t[:n]), " ".join(t[n:])) for t, n in zip(texts, heads, strict=True)], dtype=np.int64)
-        yield pd.DataFrame({"band": signatures(texts, words, heads).ravel(), "id": np.repeat(b["id"].to_numpy()[kept], BANDS), "text": np.repeat(digests, BANDS)})
-
-
-def _place(field: str, before: list[str], word: str) -> int:
-    return _hash(field, *before[-3:], word)
-
-
-def _inner(parts: dict[str, list[str]]) -> Iterator[int]:
-    """Keys of all places where a similar copy of the record may have been cut: words before, beginning of the word there."""
-    lost = math.ceil((1 - SIMILARITY) * max(sum(map(len, parts.values())) - SHINGLE + 1, 1)) + 1
-    for field, words in parts.items():
-        for at in range(max(1, len(words) - 1 - lost), len(words)):
-            word = words[at]
-            for stop in range(1, len(word) + (at + 1 < len(words))):
-                yield _place(field, words[:at], word[:stop])
-
-
-def _ends_and_places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(place, id, field): the end of each field; without an id, the places within any."""
+def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(place, id, field): the words before the last of each field; without a field, the same at all places where a similar copy may have been cut."""
     for b in batches:
-        keys, ids, fields, places = [], [], [], set()
+        keys, ids, fields = [], [], []
         for key, title, summary in zip(b["id"], b["title"], b["summary"], strict=True):
             parts = near_words(title, summary)
+            lost = math.ceil((1 - SIMILARITY) * max(sum(map(len, parts.values())) - SHINGLE + 1, 1)) + 1
+            within = set()
             for field, words in parts.items():
                 if len(words) > 1:
-                    keys.append(_place(field, words[:-1], words[-1]))
+                    keys.append(_hash(field, *words[-4:-1]))
                     ids.append(key)
                     fields.append(field)
-            places.update(_inner(parts))
-        none = [None] * len(places)
-        yield pd.DataFrame({"place": np.array([*keys, *places], dtype=np.int64), "id": pd.array([*ids, *none], dtype="Int64"), "field": [*fields, *none]})
-
-
-def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(place, top): the places within each record."""
-    for b in batches:
-        found = [(place, key) for key, title, summary in zip(b["id"], b["title"], b["summary"], strict=True) for place in set(_inner(near_words(title, summary)))]
-        yield pd.DataFrame(found, columns=["place", "top"]).astype("int64")
+                within.update(_hash(field, *words[max(0, at - 3) : at]) for at in range(max(1, len(words) - 1 - lost), len(words)))
+            keys += within
+            ids += [key] * len(within)
+            fields += [None] * len(within)
+        yield pd.DataFrame({"place": np.array(keys, dtype=np.int64), "id": np.array(ids, dtype=np.int64), "field": fields})
 
 
 def _shingles(parts: dict[str, list[str]]) -> set[tuple[str, ...]]:
@@ -513,31 +534,50 @@ def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.loc[kept, ["id", "field"]]
 
 
-def near_copies(records: DataFrame, known: DataFrame) -> DataFrame:
+#: Partners that an end is compared with at once; if none shows it to be cut, others follow.
+PARTNERS = 8
+
+
+def near_copies(records: DataFrame, known: DataFrame | None = None, keys: DataFrame | None = None) -> DataFrame:
     """(id, field): fields whose alignment with a near-copy of the record ends early; ``known`` (id, field) need not be found again.
 
-    Only records that share a band with another text take part. An end that
-    stands nowhere within another text has no partner; the others meet the
-    records that have the same band and the end's place within, each pair of
-    which is verified. Both keys are equi-joined, without a cap.
+    Only records that share a band with another text take part. The words
+    before the end of a field are looked up among the places of the others, in
+    the same band: most ends have no partner. The partners of a band and place
+    lie in buckets of about ``PARTNERS``; an end is compared with one bucket,
+    then with twice as many, until it is shown to be cut or all are compared, so
+    a group of copies is not compared pair by pair, and no partner is left out.
     """
     own = records.where("title is not null or summary is not null").select("id", "source", "title", "summary")
-    bands = stored(own.select("id", "title", "summary").mapInPandas(_bands, "band bigint, id bigint, text bigint"))
+    keys = scanned(own.withColumn("link", F.lit(None).cast("string"))).where(F.col("kind") == KEYS) if keys is None else keys
+    bands = keys.select(F.explode("keys").alias("band"), "id", F.col("key").alias("text"))
     shared = bands.groupBy("band").agg(F.min("text").alias("least"), F.max("text").alias("most")).where("least < most").select("band")
-    bands = stored(bands.join(shared, "band", "left_semi").select("band", "id"))
-    members = own.join(bands.select("id").distinct(), "id", "left_semi")
-    found = stored(members.select("id", "title", "summary").mapInPandas(_ends_and_places, "place bigint, id bigint, field string"))
-    ends = found.where("id is not null").join(known, ["id", "field"], "left_anti")
-    ends = stored(ends.join(found.where("id is null").select("place"), "place", "left_semi").distinct())
-    asked = ends.join(bands, "id").select("id", "field", "place", "band").distinct()
-    tops = bands.join(asked.select("band").distinct(), "band", "left_semi").select("band", F.col("id").alias("top")).distinct()
-    texts = members.select(F.col("id").alias("top"), "source", "title", "summary")
-    within = members.join(tops.select(F.col("top").alias("id")).distinct(), "id", "left_semi").select("id", "title", "summary").mapInPandas(_places, "place bigint, top bigint")
-    within = within.join(ends.select("place").distinct(), "place", "left_semi").join(tops, "top")
-    pairs = stored(asked.join(within, ["band", "place"]).where("id <> top").select("id", "field", "top").distinct())
-    texts = texts.select("top", F.col("source").alias("top_source"), F.col("title").alias("top_title"), F.col("summary").alias("top_summary"))
-    both = pairs.join(members, "id").join(texts, "top").withColumn("own_source", F.col("source") == F.col("top_source"))
-    return both.select("id", "field", "title", "summary", "top_title", "top_summary", "own_source").mapInPandas(_aligned, "id bigint, field string").distinct()
+    bands = stored(bands.join(shared, "band", "left_semi").select("band", "id").distinct())
+    members = stored(own.join(bands.select("id").distinct(), "id", "left_semi"))
+    found = stored(members.select("id", "title", "summary").mapInPandas(_places, "place bigint, id bigint, field string"))
+    ends = found.where("field is not null")
+    if known is not None:
+        ends = ends.join(known, ["id", "field"], "left_anti")
+    within = found.where("field is null").select("place", F.col("id").alias("top"))
+    asked = stored(ends.join(bands, "id").select("id", "field", "place", "band").distinct())
+    tops = stored(within.join(asked.select("place").distinct(), "place", "left_semi").join(bands.withColumnRenamed("id", "top"), "top").join(asked.select("place", "band").distinct(), ["place", "band"], "left_semi").distinct())
+    sizes = tops.groupBy("place", "band").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("buckets"))
+    tops = tops.join(sizes, ["place", "band"]).withColumn("bucket", F.pmod(F.xxhash64("top"), F.col("buckets")).cast("int")).drop("buckets")
+    waiting = stored(asked.join(sizes, ["place", "band"]))
+    texts = members.select(F.col("id").alias("top"), F.col("source").alias("top_source"), F.col("title").alias("top_title"), F.col("summary").alias("top_summary"))
+    most, begin, step, cases = waiting.agg(F.max("buckets")).first()[0] or 0, 0, 1, None
+    while begin < most:
+        turns = F.explode(F.sequence(F.lit(begin), F.least(F.lit(begin + step), F.col("buckets")) - 1)).alias("turn")
+        looks = waiting.where(F.col("buckets") > begin).select("*", turns).withColumn("bucket", F.pmod(F.xxhash64("id") + F.col("turn"), F.col("buckets")).cast("int"))
+        pairs = looks.join(tops, ["place", "band", "bucket"]).where("id <> top").select("id", "field", "top").distinct()
+        both = pairs.join(members, "id").join(texts, "top").withColumn("own_source", F.col("source") == F.col("top_source"))
+        early = stored(both.select("id", "field", "title", "summary", "top_title", "top_summary", "own_source").mapInPandas(_aligned, "id bigint, field string").distinct())
+        cases = early if cases is None else cases.unionByName(early)
+        begin, step = begin + step, 2 * step
+        if begin < most:
+            waiting = stored(waiting.where(F.col("buckets") > begin).join(early, ["id", "field"], "left_anti"))
+            most = waiting.agg(F.max("buckets")).first()[0] or 0
+    return found.where("field is not null").select("id", "field").limit(0) if cases is None else cases
 
 
 #: A closing word must have ended so many unfinished texts, and half of what begins alike, to be an end without a full stop.
@@ -554,15 +594,16 @@ def truncated(records: DataFrame, left_out: DataFrame | None = None) -> DataFram
     ``records`` needs id, corporation_id, title, summary and link.
     """
     own = records.select("id", F.coalesce(F.col("corporation_id"), F.lit(-1)).cast("bigint").alias("source"), "title", "summary", "link").where("id is not null")
-    counts = own.select("title", "summary").mapInPandas(_statistics, "key bigint, e bigint, m bigint, f bigint, n bigint")
-    counts = counts.groupBy("key").agg(*(F.sum(p).alias(p) for p in PLACES))
-    ends = own.mapInArrow(_ends, "id bigint, source bigint, field string, size int, verdict int, keys array<bigint>, known int")
-    ends = stored(ends.dropDuplicates(["id", "field"]))
-    asked = ends.where("verdict <> 2").select("id", "field", "known", F.posexplode("keys").alias("at", "key")).where("key <> 0").join(counts, "key", "left")
+    scan = scanned(own)
+    counts = scan.where(F.col("kind") == COUNTS).groupBy("key").agg(*(F.sum(p).alias(p) for p in PLACES))
+    ends = scan.where(F.col("kind") == ENDS).select("id", "source", "field", "size", "verdict", "known", "keys", F.col("key").alias("ask")).dropDuplicates(["id", "field"])
+    ends = stored(ends)
+    # fields that ask for the same counts ask once
+    asked = ends.where("verdict <> 2").select("ask", "keys").dropDuplicates(["ask"]).select("ask", F.posexplode("keys").alias("at", "key")).where("key <> 0").join(counts, "key", "left")
     at = lambda k, p: F.coalesce(F.max(F.when(F.col("at") == k, F.col(p))), F.lit(0)).alias(f"{p}{k}")
-    seen = asked.groupBy("id", "field").agg(*(at(k, p) for k, p in ((0, "e"), (0, "m"), (0, "f"), (1, "e"), (1, "m"), (1, "f"), (2, "n"), (2, "m"), (3, "f"), (4, "m"))))
+    seen = asked.groupBy("ask").agg(*(at(k, p) for k, p in ((0, "e"), (0, "m"), (0, "f"), (1, "e"), (1, "m"), (1, "f"), (2, "n"), (2, "m"), (3, "f"), (4, "m"))))
     total = records.count()
-    judged = ends.join(seen, ["id", "field"], "left")
+    judged = ends.drop("keys").join(seen, "ask", "left")
     rare = F.col("f0") < max(2, FINAL_SHARE * total)
     ends_rate = F.col("f0") / F.greatest(F.col("m0") + F.col("f0"), F.lit(1))
     suffix = (F.col("f1") >= FINAL_SHARE * total) & (F.col("f1") >= 2) & (F.col("f1") >= 0.1 * (F.col("m1") + F.col("f1")))
@@ -583,10 +624,10 @@ def truncated(records: DataFrame, left_out: DataFrame | None = None) -> DataFram
     sums = unmarked.groupBy("source", "field", "size").agg(F.sum(F.col("cut").cast("int")).alias("cuts"), F.count("*").alias("all"))
     limits = sums.where((F.col("cuts") >= LIMIT_ROWS) & (F.col("cuts") >= 0.6 * F.col("all"))).select("source", "field", "size").withColumn("limit", F.lit(True))
     by_end = judged.join(limits, ["source", "field", "size"], "left").where("cut or (limit and (not title or rate < 0.05))").select("id", "source", "field")
-    copies = own.join(cut_copies(own), "id", "left_semi").select("id", "source", F.lit("s").alias("field"))
-    cases = stored(by_end.unionByName(copies).distinct())
-    near = near_copies(own, cases.select("id", "field"))
-    cases = cases.unionByName(own.join(near, "id").select("id", "source", "field")).distinct()
+    keys = scan.where(F.col("kind") == KEYS).select("id", "keys", "key", "head")
+    copies = cut_copies(own, keys).select("id", F.lit("s").alias("field")).unionByName(near_copies(own, keys=keys))
+    copies = own.select("id", "source").join(copies, "id").select("id", "source", "field")
+    cases = by_end.unionByName(copies).distinct()
     if left_out is not None:
         cases = cases.join(left_out.select("id"), "id", "left_anti")
     return cases.select("id", F.when(F.col("field") == "s", "summary").otherwise("title").alias("field_name"), "source")
