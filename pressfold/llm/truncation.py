@@ -262,7 +262,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One pass over the texts for all that is asked of them.
 
     ENDS: a field that has not certainly ended, the keys that judge it and their
-    hash. KEYS: the bands of a record, the hash of its words and of the first of
+    hash. KEYS: the bands of a record, its sketch (as e), the number of its shingles (as m), the hash of its words and of the first of
     them. COUNTS: counts of words, given out whenever a million are held.
     """
     counts, words = Counts(), _Words()
@@ -303,10 +303,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
         if texts:
             digests = [_hash(" ".join(t[:n]), " ".join(t[n:])) for t, n in zip(texts, firsts, strict=True)]
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), pa.array(signatures(texts, words, firsts).ravel()))
+            own, sketch, sizes = _minima(texts, words, firsts)
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), pa.array(own.ravel()))
             rest = _nothing(len(texts))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(texts), KEYS, dtype=np.int32)), pa.array(owners, pa.int64()), *rest(pa.int64(), 1), *rest(pa.string(), 1), *rest(pa.int32(), 3), bands, pa.array(digests, pa.int64()), pa.array(heads, pa.int64()), *rest(pa.int64(), 4)],
+                [pa.array(np.full(len(texts), KEYS, dtype=np.int32)), pa.array(owners, pa.int64()), *rest(pa.int64(), 1), *rest(pa.string(), 1), *rest(pa.int32(), 3), bands, pa.array(digests, pa.int64()), pa.array(heads, pa.int64()), pa.array(sketch), pa.array(sizes), *rest(pa.int64(), 2)],
                 schema=_SCAN,
             )
         if len(words) > 1 << 20:
@@ -344,6 +345,11 @@ class _Words(dict):
 
 def signatures(texts: list[list[str]], words: _Words, heads: list[int] | None = None) -> np.ndarray:
     """The hashes of the bands of each text, which must have a shingle; none spans the first ``heads`` words and the rest."""
+    return _minima(texts, words, heads)[0]
+
+
+def _minima(texts: list[list[str]], words: _Words, heads: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``signatures``, a sketch of two bits of each minimum, and the number of shingles."""
     counts = np.array([len(t) for t in texts])
     codes = np.fromiter((words[w] for t in texts for w in t), dtype=np.uint64, count=int(counts.sum()))
     rolled = np.zeros(len(codes) - SHINGLE + 1, dtype=np.uint64)
@@ -362,13 +368,14 @@ def signatures(texts: list[list[str]], words: _Words, heads: list[int] | None =
         sizes = own + np.maximum(counts - first - SHINGLE + 1, 0)
     shingles = rolled[inside]
     at = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    bands = np.zeros((len(texts), BANDS), dtype=np.uint64)
+    bands, sketch = np.zeros((len(texts), BANDS), dtype=np.uint64), np.zeros(len(texts), dtype=np.uint64)
     for k in range(BANDS * ROWS):
         least = np.minimum.reduceat((shingles ^ _SEEDS[0, k]) * _SEEDS[1, k] >> np.uint64(1), at)
+        sketch = (sketch << np.uint64(2)) | (least & np.uint64(3))
         band = bands[:, k // ROWS]
         band = (band ^ least) * np.uint64(0xD6E8FEB86659FD93)
         bands[:, k // ROWS] = band ^ (band >> np.uint64(32))
-    return (bands ^ np.arange(1, BANDS + 1, dtype=np.uint64)).astype(np.int64)
+    return (bands ^ np.arange(1, BANDS + 1, dtype=np.uint64)).astype(np.int64), sketch.astype(np.int64), sizes
 
 
 def without_mark(text: str) -> str:
@@ -471,23 +478,23 @@ def near_words(title: str | None, summary: str | None) -> dict[str, list[str]]:
 
 
 def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(place, id, field): the words before the last of each field; without a field, the same at all places where a similar copy may have been cut."""
+    """(place, id, field, words): the words before the last of each field, and how many it has; without a field, the same at all places where a similar copy may have been cut."""
     for b in batches:
-        keys, ids, fields = [], [], []
+        keys, ids, fields, places = [], [], [], []
         for key, title, summary in zip(b["id"], b["title"], b["summary"], strict=True):
             parts = near_words(title, summary)
             lost = math.ceil((1 - SIMILARITY) * max(sum(map(len, parts.values())) - SHINGLE + 1, 1)) + 1
-            within = set()
             for field, words in parts.items():
                 if len(words) > 1:
                     keys.append(_hash(field, *words[-4:-1]))
-                    ids.append(key)
                     fields.append(field)
-                within.update(_hash(field, *words[max(0, at - 3) : at]) for at in range(max(1, len(words) - 1 - lost), len(words)))
-            keys += within
-            ids += [key] * len(within)
-            fields += [None] * len(within)
-        yield pd.DataFrame({"place": np.array(keys, dtype=np.int64), "id": np.array(ids, dtype=np.int64), "field": fields})
+                    places.append(len(words))
+                for at in range(max(1, len(words) - 1 - lost), len(words)):
+                    keys.append(_hash(field, *words[max(0, at - 3) : at]))
+                    fields.append(None)
+                    places.append(at + 1)
+            ids += [key] * (len(keys) - len(ids))
+        yield pd.DataFrame({"place": np.array(keys, dtype=np.int64), "id": np.array(ids, dtype=np.int64), "field": fields, "words": np.array(places, dtype=np.int32)})
 
 
 def _shingles(parts: dict[str, list[str]]) -> set[tuple[str, ...]]:
@@ -535,7 +542,9 @@ def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 #: Partners that an end is compared with at once; if none shows it to be cut, others follow.
-PARTNERS = 8
+PARTNERS = 64
+#: Minima whose two bits may differ in a pair that is aligned: at similarity 0.8 more differ in 1 of 20,000 pairs.
+DIFFERENT = 13
 
 
 def near_copies(records: DataFrame, known: DataFrame | None = None, keys: DataFrame | None = None) -> DataFrame:
@@ -545,35 +554,41 @@ def near_copies(records: DataFrame, known: DataFrame | None = None, keys: DataFr
     before the end of a field are looked up among the places of the others, in
     the same band: most ends have no partner. The partners of a band and place
     lie in buckets of about ``PARTNERS``; an end is compared with one bucket,
-    then with twice as many, until it is shown to be cut or all are compared, so
+    then with four times as many, until it is shown to be cut or all are compared, so
     a group of copies is not compared pair by pair, and no partner is left out.
     """
     own = records.where("title is not null or summary is not null").select("id", "source", "title", "summary")
     keys = scanned(own.withColumn("link", F.lit(None).cast("string"))).where(F.col("kind") == KEYS) if keys is None else keys
-    bands = keys.select(F.explode("keys").alias("band"), "id", F.col("key").alias("text"))
+    bands = keys.select(F.explode("keys").alias("band"), "id", F.col("key").alias("text"), F.col("e").alias("sketch"), F.col("m").alias("shingles"))
     shared = bands.groupBy("band").agg(F.min("text").alias("least"), F.max("text").alias("most")).where("least < most").select("band")
-    bands = stored(bands.join(shared, "band", "left_semi").select("band", "id").distinct())
+    bands = stored(bands.join(shared, "band", "left_semi").distinct())
     members = stored(own.join(bands.select("id").distinct(), "id", "left_semi"))
-    found = stored(members.select("id", "title", "summary").mapInPandas(_places, "place bigint, id bigint, field string"))
+    found = stored(members.select("id", "title", "summary").mapInPandas(_places, "place bigint, id bigint, field string, words int"))
     ends = found.where("field is not null")
     if known is not None:
         ends = ends.join(known, ["id", "field"], "left_anti")
-    within = found.where("field is null").select("place", F.col("id").alias("top"))
-    asked = stored(ends.join(bands, "id").select("id", "field", "place", "band").distinct())
-    tops = stored(within.join(asked.select("place").distinct(), "place", "left_semi").join(bands.withColumnRenamed("id", "top"), "top").join(asked.select("place", "band").distinct(), ["place", "band"], "left_semi").distinct())
+    within = found.where("field is null").select("place", F.col("id").alias("top"), F.col("words").alias("top_words"))
+    asked = stored(ends.join(bands, "id").distinct())
+    tops = within.join(asked.select("place").distinct(), "place", "left_semi").join(bands.select("band", F.col("id").alias("top"), *(F.col(c).alias(f"top_{c}") for c in ("text", "sketch", "shingles"))), "top")
+    tops = stored(tops.join(asked.select("place", "band").distinct(), ["place", "band"], "left_semi"))
     sizes = tops.groupBy("place", "band").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("buckets"))
     tops = tops.join(sizes, ["place", "band"]).withColumn("bucket", F.pmod(F.xxhash64("top"), F.col("buckets")).cast("int")).drop("buckets")
     waiting = stored(asked.join(sizes, ["place", "band"]))
     texts = members.select(F.col("id").alias("top"), F.col("source").alias("top_source"), F.col("title").alias("top_title"), F.col("summary").alias("top_summary"))
+    # what the alignment and the similarity demand of numbers alone
+    differ = F.col("sketch").bitwiseXOR(F.col("top_sketch"))
+    differ = F.bit_count((differ.bitwiseOR(F.shiftrightunsigned(differ, 1))).bitwiseAND(F.lit(0x5555555555555555)))
+    near = F.abs(F.col("words") - F.col("top_words")) <= (1 - SIMILARITY) * F.col("words") + 1
+    sized = F.least("shingles", "top_shingles") >= SIMILARITY * F.greatest("shingles", "top_shingles")
     most, begin, step, cases = waiting.agg(F.max("buckets")).first()[0] or 0, 0, 1, None
     while begin < most:
         turns = F.explode(F.sequence(F.lit(begin), F.least(F.lit(begin + step), F.col("buckets")) - 1)).alias("turn")
         looks = waiting.where(F.col("buckets") > begin).select("*", turns).withColumn("bucket", F.pmod(F.xxhash64("id") + F.col("turn"), F.col("buckets")).cast("int"))
-        pairs = looks.join(tops, ["place", "band", "bucket"]).where("id <> top").select("id", "field", "top").distinct()
+        pairs = looks.join(tops, ["place", "band", "bucket"]).where((F.col("text") != F.col("top_text")) & sized & near & (differ <= DIFFERENT)).select("id", "field", "top").distinct()
         both = pairs.join(members, "id").join(texts, "top").withColumn("own_source", F.col("source") == F.col("top_source"))
         early = stored(both.select("id", "field", "title", "summary", "top_title", "top_summary", "own_source").mapInPandas(_aligned, "id bigint, field string").distinct())
         cases = early if cases is None else cases.unionByName(early)
-        begin, step = begin + step, 2 * step
+        begin, step = begin + step, 4 * step
         if begin < most:
             waiting = stored(waiting.where(F.col("buckets") > begin).join(early, ["id", "field"], "left_anti"))
             most = waiting.agg(F.max("buckets")).first()[0] or 0
@@ -624,7 +639,7 @@ def truncated(records: DataFrame, left_out: DataFrame | None = None) -> DataFram
     sums = unmarked.groupBy("source", "field", "size").agg(F.sum(F.col("cut").cast("int")).alias("cuts"), F.count("*").alias("all"))
     limits = sums.where((F.col("cuts") >= LIMIT_ROWS) & (F.col("cuts") >= 0.6 * F.col("all"))).select("source", "field", "size").withColumn("limit", F.lit(True))
     by_end = judged.join(limits, ["source", "field", "size"], "left").where("cut or (limit and (not title or rate < 0.05))").select("id", "source", "field")
-    keys = scan.where(F.col("kind") == KEYS).select("id", "keys", "key", "head")
+    keys = scan.where(F.col("kind") == KEYS).select("id", "keys", "key", "head", "e", "m")
     copies = cut_copies(own, keys).select("id", F.lit("s").alias("field")).unionByName(near_copies(own, keys=keys))
     copies = own.select("id", "source").join(copies, "id").select("id", "source", "field")
     cases = by_end.unionByName(copies).distinct()
