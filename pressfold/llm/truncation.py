@@ -478,21 +478,29 @@ def near_words(title: str | None, summary: str | None) -> dict[str, list[str]]:
 
 
 def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(place, id, field, words): the words before the last of each field, and how many it has; without a field, the same at all places where a similar copy may have been cut."""
+    """(place, id, field, words): keys of the end of each field, and how many words it has; without a field, of all places where a similar copy may have been cut.
+
+    A place is known by the three words before it and the first letter of its
+    word; at the last word of a text, by the whole beginning of that word that is left.
+    """
     for b in batches:
         keys, ids, fields, places = [], [], [], []
         for key, title, summary in zip(b["id"], b["title"], b["summary"], strict=True):
             parts = near_words(title, summary)
             lost = math.ceil((1 - SIMILARITY) * max(sum(map(len, parts.values())) - SHINGLE + 1, 1)) + 1
             for field, words in parts.items():
-                if len(words) > 1:
-                    keys.append(_hash(field, *words[-4:-1]))
-                    fields.append(field)
-                    places.append(len(words))
-                for at in range(max(1, len(words) - 1 - lost), len(words)):
-                    keys.append(_hash(field, *words[max(0, at - 3) : at]))
-                    fields.append(None)
+                if len(words) < 2:
+                    continue
+                last, before = words[-1], "\x01".join((field, *words[-4:-1]))
+                keys += (_hash(before, last[0]), _hash("=", before, last))
+                fields += (field, field)
+                places += (len(words), len(words))
+                for at in range(max(1, len(words) - 1 - lost), len(words) - 1):
+                    keys.append(_hash("\x01".join((field, *words[max(0, at - 3) : at])), words[at][0]))
                     places.append(at + 1)
+                keys += [_hash("=", before, last[:stop]) for stop in range(1, len(last))]
+                places += [len(words)] * (len(last) - 1)
+                fields += [None] * (len(keys) - len(fields))
             ids += [key] * (len(keys) - len(ids))
         yield pd.DataFrame({"place": np.array(keys, dtype=np.int64), "id": np.array(ids, dtype=np.int64), "field": fields, "words": np.array(places, dtype=np.int32)})
 
@@ -559,17 +567,21 @@ def near_copies(records: DataFrame, known: DataFrame | None = None, keys: DataFr
     """
     own = records.where("title is not null or summary is not null").select("id", "source", "title", "summary")
     keys = scanned(own.withColumn("link", F.lit(None).cast("string"))).where(F.col("kind") == KEYS) if keys is None else keys
-    bands = keys.select(F.explode("keys").alias("band"), "id", F.col("key").alias("text"), F.col("e").alias("sketch"), F.col("m").alias("shingles"))
-    shared = bands.groupBy("band").agg(F.min("text").alias("least"), F.max("text").alias("most")).where("least < most").select("band")
-    bands = stored(bands.join(shared, "band", "left_semi").distinct())
+    texts = keys.select(F.explode("keys").alias("band"), F.col("key").alias("text"))
+    shared = stored(texts.groupBy("band").agg(F.min("text").alias("least"), F.max("text").alias("most")).where("least < most").select("band"))
+    bands = stored(keys.select(F.explode("keys").alias("band"), "id").join(shared, "band", "left_semi").distinct())
+    sketches = keys.select("id", F.col("key").alias("text"), F.col("e").alias("sketch"), F.col("m").alias("shingles"))
     members = stored(own.join(bands.select("id").distinct(), "id", "left_semi"))
     found = stored(members.select("id", "title", "summary").mapInPandas(_places, "place bigint, id bigint, field string, words int"))
     ends = found.where("field is not null")
     if known is not None:
         ends = ends.join(known, ["id", "field"], "left_anti")
     within = found.where("field is null").select("place", F.col("id").alias("top"), F.col("words").alias("top_words"))
-    asked = stored(ends.join(bands, "id").distinct())
-    tops = within.join(asked.select("place").distinct(), "place", "left_semi").join(bands.select("band", F.col("id").alias("top"), *(F.col(c).alias(f"top_{c}") for c in ("text", "sketch", "shingles"))), "top")
+    asked = stored(ends.join(within.select("place"), "place", "left_semi").distinct())
+    tops = stored(within.join(asked.select("place").distinct(), "place", "left_semi").distinct())
+    sketches = stored(sketches.join(asked.select("id").union(tops.select("top")).distinct(), "id", "left_semi").dropDuplicates(["id"]))
+    asked = stored(asked.join(bands, "id").join(sketches, "id"))
+    tops = tops.join(bands.withColumnRenamed("id", "top"), "top").join(sketches.select(*(F.col(c).alias(f"top_{c}" if c != "id" else "top") for c in ("id", "text", "sketch", "shingles"))), "top")
     tops = stored(tops.join(asked.select("place", "band").distinct(), ["place", "band"], "left_semi"))
     sizes = tops.groupBy("place", "band").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("buckets"))
     tops = tops.join(sizes, ["place", "band"]).withColumn("bucket", F.pmod(F.xxhash64("top"), F.col("buckets")).cast("int")).drop("buckets")
@@ -611,14 +623,14 @@ def truncated(records: DataFrame, left_out: DataFrame | None = None) -> DataFram
     own = records.select("id", F.coalesce(F.col("corporation_id"), F.lit(-1)).cast("bigint").alias("source"), "title", "summary", "link").where("id is not null")
     scan = scanned(own)
     counts = scan.where(F.col("kind") == COUNTS).groupBy("key").agg(*(F.sum(p).alias(p) for p in PLACES))
-    ends = scan.where(F.col("kind") == ENDS).select("id", "source", "field", "size", "verdict", "known", "keys", F.col("key").alias("ask")).dropDuplicates(["id", "field"])
-    ends = stored(ends)
+    ends = scan.where(F.col("kind") == ENDS).withColumn("ask", F.when(F.col("verdict") != 2, F.col("key")))
     # fields that ask for the same counts ask once
-    asked = ends.where("verdict <> 2").select("ask", "keys").dropDuplicates(["ask"]).select("ask", F.posexplode("keys").alias("at", "key")).where("key <> 0").join(counts, "key", "left")
+    asks = ends.where("ask is not null").groupBy("ask").agg(F.first("keys").alias("keys"))
+    asked = asks.select("ask", F.posexplode("keys").alias("at", "key")).where("key <> 0").join(counts, "key", "left")
     at = lambda k, p: F.coalesce(F.max(F.when(F.col("at") == k, F.col(p))), F.lit(0)).alias(f"{p}{k}")
     seen = asked.groupBy("ask").agg(*(at(k, p) for k, p in ((0, "e"), (0, "m"), (0, "f"), (1, "e"), (1, "m"), (1, "f"), (2, "n"), (2, "m"), (3, "f"), (4, "m"))))
     total = records.count()
-    judged = ends.drop("keys").join(seen, "ask", "left")
+    judged = ends.select("id", "source", "field", "size", "verdict", "known", "ask").dropDuplicates(["id", "field"]).join(stored(seen), "ask", "left")
     rare = F.col("f0") < max(2, FINAL_SHARE * total)
     ends_rate = F.col("f0") / F.greatest(F.col("m0") + F.col("f0"), F.lit(1))
     suffix = (F.col("f1") >= FINAL_SHARE * total) & (F.col("f1") >= 2) & (F.col("f1") >= 0.1 * (F.col("m1") + F.col("f1")))
