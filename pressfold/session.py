@@ -87,12 +87,18 @@ def stored(df: DataFrame) -> DataFrame:
     The files are removed when the session's Python process ends.
     """
     spark = df.sparkSession
+    path = new_folder(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def new_folder(spark: SparkSession) -> str:
+    """The path of a folder to be made in the shared folder; it is removed when the session's Python process ends."""
     path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
     if "://" not in path:
         path = f"file://{os.path.abspath(path)}"
-    df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def _remove(spark: SparkSession, path: str) -> None:
