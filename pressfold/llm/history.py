@@ -10,9 +10,16 @@ Headlines one slip apart are found with a segment index: a headline is cut into
 slip leaves at least one part whole; what stands before a slip keeps its place,
 what follows moves by the difference in length, so few substrings of a new
 headline are looked up. Candidates must agree in the parities of their letters
-up to two, then are verified. The index holds one entry for each distinct
-headline of a source; accepting a batch appends its segments, and history is
-never read again in full but for its keys.
+up to two, then are verified. An entry that more than ``HOT`` headlines share is
+split by a second key: the headline without one of its letters, which two
+headlines one slip apart have in common; so headlines of one pattern are not
+compared pair by pair. The index holds one entry for each distinct headline of a
+source; accepting a batch appends its segments.
+
+The stored history is divided into buckets by the hash of what is looked up.
+Everything is asked for by the batch's own keys, entries, headlines and ids, and
+only the buckets that these fall into are read, so a batch that is small against
+the number of buckets reads the same however long the history is.
 
 Which of a batch's records count as accepted depends on their order: rounds
 decide each record as soon as everything before it that it matches is decided.
@@ -26,20 +33,26 @@ finds nothing in it.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from typing import ClassVar
 from urllib.parse import unquote
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressfold.session import stored
 
 SEGMENTS = 3
-#: Headlines of fewer characters must agree exactly.
+#: Headlines of fewer characters must agree exactly: one letter of them is a fifth of a name or more, another term and no slip.
 SHORTEST = 6
+#: Headlines of one entry from which on a second key divides them.
+HOT = 64
+#: Rows of history for each bucket of its stored tables.
+BUCKET_ROWS = 200_000
 
 # Query fields that do not change a page.
 TRACKING = re.compile(r"^(utm_\w+|fbclid|gclid|dclid|msclkid|yclid|igshid|mc_cid|mc_eid|ref|ref_src|source|share|spm)$")
@@ -197,14 +210,41 @@ def entries(heads: DataFrame, probe: bool) -> DataFrame:
     return found.select(F.explode("entries").alias("entry"), "head", "parity")
 
 
-def slips(new_heads: DataFrame, index: DataFrame, all_heads: DataFrame) -> DataFrame:
-    """(head, other): headlines of the batch with those of the index that are one slip away."""
-    looked_up = entries(new_heads, probe=True)
-    stock = index.select("entry", F.col("head").alias("other"), F.col("parity").alias("other_parity"))
+def variants(base: str, text: str) -> list[int]:
+    """Hashes of a headline and of it without each of its letters; two headlines one slip apart share one of them."""
+    return [_hash(base, text), *{_hash(base, text[:k] + text[k + 1 :]) for k, c in enumerate(text) if not c.isdigit()}]
+
+
+def _divided(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Entries (entry, head) by their second key."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"entry": b["entry"], "head": b["head"], "variants": [variants(x, t) for x, t in zip(b["base"], b["text"], strict=True)]})
+
+    found = rows.join(texts, "head").select("entry", "head", "base", "text").mapInPandas(run, "entry bigint, head binary, variants array<bigint>")
+    return found.select("entry", F.explode("variants").alias("variant"), "head")
+
+
+def slips(new_heads: DataFrame, history: History) -> DataFrame:
+    """(head, other): headlines of the batch with those of the history or the batch that are one slip away."""
+    looked_up = stored(entries(new_heads, probe=True))
+    stock = history.near("index", "entry", looked_up.select("entry")).select("entry", "head", "parity").unionByName(entries(new_heads, probe=False))
+    stock = stored(stock)
+    hot = stored(stock.groupBy("entry").count().where(F.col("count") > HOT).select("entry"))
+    named = lambda rows: rows.withColumnsRenamed({"head": "other", "parity": "other_parity"})
     near = F.bit_count(F.col("parity").bitwiseXOR(F.col("other_parity"))) <= 2
-    pairs = looked_up.join(stock, "entry").where(near & (F.col("head") != F.col("other"))).select("head", "other").distinct()
-    texts = all_heads.select("head", "text")
-    pairs = pairs.join(texts, "head").join(texts.select(F.col("head").alias("other"), F.col("text").alias("other_text")), "other")
+    looks, stocks = (looked_up, stock) if hot.isEmpty() else (looked_up.join(hot, "entry", "left_anti"), stock.join(hot, "entry", "left_anti"))
+    pairs = looks.join(named(stocks), "entry").where(near & (F.col("head") != F.col("other"))).select("head", "other")
+    own = new_heads.select("head", "base", "text")
+    if not hot.isEmpty():
+        many = stock.join(hot, "entry", "left_semi")
+        known = stored(history.near("heads", "head", many.select("head")).select("head", "base", "text").unionByName(own).dropDuplicates(["head"]))
+        split = _divided(looked_up.join(hot, "entry", "left_semi"), own).join(named(_divided(many, known)), ["entry", "variant"])
+        pairs = pairs.unionByName(split.where("head <> other").select("head", "other"))
+    pairs = stored(pairs.distinct())
+    texts = history.near("heads", "head", pairs.select(F.col("other").alias("head"))).select("head", "base", "text").unionByName(own).dropDuplicates(["head"]).select(F.col("head").alias("other"), F.col("text").alias("other_text"))
+    pairs = pairs.join(own.select("head", "text"), "head").join(texts, "other")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -213,35 +253,66 @@ def slips(new_heads: DataFrame, index: DataFrame, all_heads: DataFrame) -> DataF
     return pairs.select("head", "other", "text", "other_text").mapInPandas(run, "head binary, other binary")
 
 
+def _keys(rows: DataFrame, *columns: str) -> DataFrame:
+    """(key, columns) of the pages and headlines of rows."""
+    kinds = F.array(F.concat(F.lit(b"p"), F.col("page")), F.concat(F.lit(b"h"), F.col("head")))
+    return rows.select(F.explode(kinds).alias("key"), *columns).where("key is not null")
+
+
 @dataclass
 class History:
-    """What is known of the accepted records: their keys, distinct headlines and segments."""
+    """What is known of the accepted records: their keys, the records by id, distinct headlines and segments."""
 
     keys: DataFrame
+    records: DataFrame
     heads: DataFrame
     index: DataFrame
+    buckets: int = 0
+
+    #: What each table is looked up by.
+    COLUMNS: ClassVar[dict[str, str]] = {"keys": "key", "records": "id", "heads": "head", "index": "entry"}
 
     @staticmethod
     def of(prepared: DataFrame) -> History:
-        keys = prepared.select("id", "page", "head")
         heads = headlines(prepared)
-        return History(keys, heads, entries(heads, probe=False))
+        return History(_keys(prepared, "id"), prepared.select("id", "page", "head"), heads, entries(heads, probe=False))
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> History:
         """The history kept in a folder by ``append``."""
-        return History(*(spark.read.parquet(f"{path}/{name}") for name in ("keys", "heads", "index")))
-
-    def append(self, path: str) -> None:
-        """Add these records to the history kept in a folder; a headline that it holds already may be stored again."""
-        for name in ("keys", "heads", "index"):
-            getattr(self, name).write.mode("append").parquet(f"{path}/{name}")
-
-
-def _key_minima(rows: DataFrame, *columns: str) -> DataFrame:
-    """(key, column minima) over the pages and headlines of rows; every key is aggregated before the shuffle."""
-    kinds = F.array(F.concat(F.lit(b"p"), F.col("page")), F.concat(F.lit(b"h"), F.col("head")))
-    keyed = rows.select(F.explode(kinds).alias("key"), *columns).where("key is not null")
+        buckets = spark.read.parquet(f"{path}/layout").first()[0]
+        return History(*(spark.read.parquet(f"{path}/{name}") for name in History.COLUMNS), buckets)
+
+    def append(self, path: str, buckets: int | None = None) -> None:
+        """Add these records to the history kept in a folder; a headline that it holds already may be stored again.
+
+        The first call sets the number of buckets, by default one for each ``BUCKET_ROWS`` of its records.
+        """
+        spark = self.records.sparkSession
+        try:
+            buckets = spark.read.parquet(f"{path}/layout").first()[0]
+        except AnalysisException:
+            buckets = buckets or 1 + self.records.count() // BUCKET_ROWS
+            spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{path}/layout")
+        for name, column in self.COLUMNS.items():
+            rows = getattr(self, name).drop("bucket").withColumn("bucket", _bucket(column, buckets))
+            rows.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(f"{path}/{name}")
+
+    def near(self, name: str, column: str, wanted: DataFrame) -> DataFrame:
+        """The rows of a table that have one of the wanted values; only the buckets of these are read."""
+        rows = getattr(self, name)
+        if self.buckets > 1:
+            touched = [r[0] for r in wanted.select(_bucket(column, self.buckets).alias("b")).distinct().collect()]  # at most one for each bucket
+            rows = rows.where(F.col("bucket").isin(touched)) if len(touched) < self.buckets else rows
+        return rows.drop("bucket").join(wanted.select(column).distinct(), column, "left_semi")
+
+
+def _bucket(column: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int")
+
+
+def _minima(keyed: DataFrame, *columns: str) -> DataFrame:
+    """(key, column minima); every key is aggregated before the shuffle."""
     return keyed.groupBy("key").agg(*(F.min(c).alias(c) for c in columns))
 
 
@@ -249,67 +320,70 @@ def _best(found: DataFrame, *columns: str) -> DataFrame:
     return found.groupBy("id").agg(*(F.min(c).alias(c) for c in columns))
 
 
-def check_batch(batch: DataFrame, history: History, rounds: int = 1000) -> DataFrame:
+def check_batch(batch: DataFrame, history: History) -> DataFrame:
     """(first_id, dup_id) of the records of a prepared batch that were accepted before, in the batch or in the history."""
     batch = stored(batch)
     own_heads = stored(headlines(batch))
-    known = history.heads.select("head", "base", "text").unionByName(own_heads).dropDuplicates(["head"])
-    index = history.index.select("entry", "head", "parity").unionByName(entries(own_heads, probe=False))
-    near = slips(own_heads, index, known)
+    near = slips(own_heads, history)
 
     # what each record looks at: its page, its headline and the headlines one slip away
-    head_key = lambda c: F.concat(F.lit(b"h"), F.col(c))
-    looks = batch.select("id", F.explode(F.array(F.concat(F.lit(b"p"), F.col("page")), head_key("head"))).alias("key")).where("key is not null")
-    near = stored(near.select("head", head_key("other").alias("key")))
-    looks = looks.unionByName(batch.select("id", "head").join(near, "head").select("id", "key"))
-
-    # accepted records of the history: the smallest id of each key, and the smallest of the article behind it
-    past = history.keys.select("id", "page", "head")
-    past = past.withColumn("accepted", F.col("id"))
-    of_key = _key_minima(past, "accepted")
-    new_of_key = _key_minima(batch.withColumn("open", F.col("id")), "open")
+    own_keys = _keys(batch, "id")
+    near = stored(near.select("head", F.concat(F.lit(b"h"), F.col("other")).alias("key")))
+    looks = own_keys.select("id", "key").unionByName(batch.select("id", "head").join(near, "head").select("id", "key"))
+
+    # accepted records of the history: the smallest id of each key that the batch looks at
+    past = history.near("keys", "key", own_keys.select("key").union(near.select("key")))
+    of_key = stored(_minima(past.withColumnRenamed("id", "accepted"), "accepted"))
+    new_of_key = _minima(own_keys.withColumnRenamed("id", "open"), "open")
     both = looks.join(of_key, "key", "left").join(new_of_key, "key", "left")
     state = _best(both.select("id", "accepted", "open"), "accepted", "open")
     # a record that sees neither an accepted record nor an earlier one of its batch is new and looks no further
     involved = state.where("accepted < id or open < id").select("id")
     touched = stored(looks.join(involved, "id", "left_semi").join(of_key, "key", "left").select("id", "key", "accepted"))
     certain = touched.where("accepted < id").groupBy("id").agg(F.min("accepted").alias("first_id"))
-    decided = stored(certain.withColumn("is_case", F.lit(True)))
+    decided = stored(certain)
 
     # batch records that may be accepted and be matched by others: those not decided as cases
     waiting = stored(touched.select("id").distinct().join(decided, "id", "left_anti"))
-    posts = batch.select("id", F.explode(F.array(F.concat(F.lit(b"p"), F.col("page")), head_key("head"))).alias("key")).where("key is not null")
     inner = stored(touched.select("id", "key").join(waiting, "id", "left_semi"))
-    offered = stored(posts.join(decided.select("id"), "id", "left_anti").join(inner.select("key").distinct(), "key", "left_semi"))
-    accepted_now = None
-    for _ in range(rounds):
-        if waiting.isEmpty():
-            break
+    offered = stored(own_keys.join(decided.select("id"), "id", "left_anti").join(inner.select("key").distinct(), "key", "left_semi"))
+    while not waiting.isEmpty():  # every round decides the smallest that waits, at least
         # the smallest candidate of each key that is not a case; what is not waiting is accepted
         live = offered.join(waiting.withColumn("pending", F.lit(True)), "id", "left")
         minima = live.groupBy("key").agg(F.min(F.when(F.col("pending").isNull(), F.col("id"))).alias("accepted"), F.min("id").alias("open"))
-        seen = _best(inner.join(waiting, "id", "left_semi").join(minima, "key", "left").select("id", "accepted", "open"), "accepted", "open")
-        seen = stored(seen)
-        cases = seen.where("accepted < id").select("id", F.col("accepted").alias("first_id"), F.lit(True).alias("is_case"))
+        seen = stored(_best(inner.join(waiting, "id", "left_semi").join(minima, "key", "left").select("id", "accepted", "open"), "accepted", "open"))
+        cases = seen.where("accepted < id").select("id", F.col("accepted").alias("first_id"))
         fresh = seen.where("(accepted is null or accepted >= id) and (open is null or open >= id)").select("id")
         decided = decided.unionByName(cases)
         waiting = stored(waiting.join(cases, "id", "left_anti").join(fresh, "id", "left_anti"))
         offered = stored(offered.join(cases, "id", "left_anti"))
-        accepted_now = fresh if accepted_now is None else accepted_now.unionByName(fresh)
-    return _first_of_article(decided, batch, history, touched)
+    return _first_of_article(decided, batch, history, touched, of_key)
 
 
-def _first_of_article(decided: DataFrame, batch: DataFrame, history: History, touched: DataFrame) -> DataFrame:
+def _first_of_article(decided: DataFrame, batch: DataFrame, history: History, touched: DataFrame, of_key: DataFrame) -> DataFrame:
     """Replace the first match by the smallest accepted id of the article that the match belongs to."""
     cases = stored(decided.select("id", "first_id"))
-    accepted = history.keys.select("id", "page", "head").unionByName(batch.select("id", "page", "head").join(cases, "id", "left_anti"))
-    accepted = accepted.withColumn("least", F.col("id"))
-    of_key = _key_minima(accepted, "least")
-    matched = touched.select("id", "key").join(cases.select("id"), "id", "left_semi").join(of_key, "key").where("least < id")
-    direct = _best(matched.select("id", "least"), "least")
+    own = batch.select("id", "page", "head").join(cases, "id", "left_anti")
+    posted = _keys(own, F.col("id").alias("least"))
+    mine = stored(_minima(posted.unionByName(of_key.withColumnRenamed("accepted", "least")), "least"))
+    matched = touched.select("id", "key").join(cases.select("id"), "id", "left_semi").join(mine, "key").where("least < id")
     # one step on: the other key of that record may belong to a smaller one
-    first = direct.select(F.col("id").alias("dup_id"), F.col("least").alias("id"))
-    keys = first.join(accepted.select("id", "page", "head"), "id")
-    on = keys.select("dup_id", "id", F.explode(F.array(F.concat(F.lit(b"p"), F.col("page")), F.concat(F.lit(b"h"), F.col("head")))).alias("key")).where("key is not null")
-    least = on.join(of_key, "key").groupBy("dup_id").agg(F.min("least").alias("first_id"))
-    return least.select("first_id", "dup_id")
+    first = stored(_best(matched.select("id", "least"), "least").select(F.col("id").alias("dup_id"), F.col("least").alias("id")))
+    found = history.near("records", "id", first.select("id")).select("id", "page", "head").unionByName(own.join(first.select("id").distinct(), "id", "left_semi"))
+    on = stored(_keys(first.join(found, "id"), "dup_id"))
+    wanted = on.select("key").distinct()
+    past = history.near("keys", "key", wanted).select("key", F.col("id").alias("least"))
+    least = _minima(past.unionByName(posted.join(wanted, "key", "left_semi")), "least")
+    return on.join(least, "key").groupBy("dup_id").agg(F.min("least").alias("first_id")).select("first_id", "dup_id")
+
+
+def check_batches(batches: Iterable[DataFrame], history: History, path: str) -> DataFrame:
+    """(first_id, dup_id) of prepared batches in their order, each against the history kept in the folder ``path``, to which its accepted records are added."""
+    history.append(path)
+    found = None
+    for batch in batches:
+        batch = stored(batch)
+        cases = stored(check_batch(batch, History.read(batch.sparkSession, path)))
+        History.of(stored(batch.join(cases.select(F.col("dup_id").alias("id")), "id", "left_anti"))).append(path)
+        found = cases if found is None else found.unionByName(cases)
+    return history.records.sparkSession.createDataFrame([], "first_id bigint, dup_id bigint") if found is None else found

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressfold.llm import bpe, cooccur, copies, history, leakage, residue, sentences, subjects, truncation
-from pressfold.session import stored
+from pressfold.session import new_folder, stored
 from pressfold.sources.tables import table
 
 
@@ -19,6 +19,16 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return history.check_batch(incoming, history.History.of(stored(accepted)))
 
 
+def p1_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """The same, batch after batch against a stored history."""
+    sources = table(spark, folder, "corporation")
+    accepted = history.prepare(table(spark, folder, "article").where("deleted_at is null"), sources)
+    rows = table(spark, folder, "crawled_article")
+    numbers = sorted(r[0] for r in rows.select("batch_no").distinct().collect() if r[0] is not None)  # runs of the crawler
+    batches = (history.prepare(rows.where(F.col("batch_no") == n), sources) for n in numbers)
+    return history.check_batches(batches, history.History.of(stored(accepted)), new_folder(spark))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return copies.copies(table(spark, folder, "article"))
 
@@ -77,7 +87,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p2_copy_counts, p3_found, p3_composition, p4_found, p6_found, p6_pairs, p7_found, p7_shares, p8_ids, p9_found, p10_found)
+    f.__name__: f for f in (p1_found, p1_batches, p2_found, p2_copy_counts, p3_found, p3_composition, p4_found, p6_found, p6_pairs, p7_found, p7_shares, p8_ids, p9_found, p10_found)
 }
 
 _KEYED = r"""

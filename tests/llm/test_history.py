@@ -1,6 +1,7 @@
 """Batches against history: the index against brute force, and batch by batch against all at once."""
 
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -113,3 +114,39 @@ def test_empty(spark):
     none, some = prepared(spark, []), prepared(spark, sample(3, 1, 10))
     assert H.check_batch(none, H.History.of(some)).count() == 0
     assert {d for _, d in map(tuple, H.check_batch(some, H.History.of(none)).collect())} == {d for _, d in brute([], sample(3, 1, 10))}
+
+
+def test_headlines_of_one_pattern_make_no_quadratic_pairs(spark):
+    words = [a + b + c for a in "abcdefghjk" for b in "lmnopqrst" for c in "uvwxyzaei"][:800]
+    old = [(i, 1, f"Weekly notes on {w}{w[::-1]} and the rest of it", None, None) for i, w in enumerate(words)]
+    new = [(5000, 1, f"Weekly notes on {words[3]}{words[3][::-1]} and the erst of it", None, None), (5001, 1, "Weekly notes on something else and the rest", None, None)]
+    history, batch = H.History.of(prepared(spark, old)), prepared(spark, new)
+    assert {(a, b) for a, b in map(tuple, H.check_batch(batch, history).collect())} == brute(old, new) == {(3, 5000)}
+    every = prepared(spark, [(10000 + r[0], *r[1:]) for r in old])
+    near = H.slips(H.headlines(every), history)
+    assert near.count() <= 20 * len(old)
+
+
+def test_variants_meet_if_one_slip_apart():
+    for a, b in (("servcie", "service"), ("meets", "meeets"), ("abc", "abd"), ("ab", "ba")):
+        assert set(H.variants("s", a)) & set(H.variants("s", b))
+
+
+def test_a_small_batch_reads_few_buckets(spark, tmp_path):
+    rows = [(i, i % 7, f"headline {'abcdefghij'[i % 10]} of {'klmnopqrst'[i // 10 % 10]}", f"https://a.com/{i}", None) for i in range(400)]
+    for size, buckets in ((40, 8), (400, 80)):
+        path = str(tmp_path / f"h{size}")
+        H.History.of(prepared(spark, rows[:size])).append(path, buckets)
+        history = H.History.read(spark, path)
+        batch = prepared(spark, [(9000, 1, None, "https://a.com/3", None)])
+        assert [tuple(r) for r in H.check_batch(batch, history).collect()] == [(3, 9000)]
+        read = history.near("keys", "key", H._keys(batch, "id").select("key"))
+        assert [r.id for r in read.collect()] == [3]
+        buckets_read = re.search(r"bucket#\d+ (?:IN \(([\d, ]+)\)|= (\d+))", read._jdf.queryExecution().optimizedPlan().toString())
+        assert len((buckets_read[1] or buckets_read[2]).split(",")) == 1 < history.keys.select("bucket").distinct().count()
+
+
+def test_batches_in_order(spark, tmp_path):
+    old, batches = sample(1, 1, 40), [sample(k + 70, 1000 * k, 60) for k in (1, 2)]
+    got = H.check_batches([prepared(spark, b) for b in batches], H.History.of(prepared(spark, old)), str(tmp_path / "h"))
+    assert {tuple(r) for r in got.collect()} == brute(old, batches[0] + batches[1])
