@@ -2,9 +2,10 @@
 
 Every record's distinct items are turned into pairs, a pair into one 64-bit
 code. Each task sorts its codes in runs of bounded size, counts equal codes
-next to each other and spills (code, count). Across runs a hash aggregation adds
-up the counts of equal codes, in place of a merge of the runs. An item paired with
-itself counts the records that hold the item, so one pass gives all numbers.
+next to each other and spills (code, count). The runs are distributed by code,
+merged by Spark's external sort, and equal codes of the merged run are counted
+as they pass. An item paired with itself counts the records that hold the item,
+so one pass gives all numbers.
 
 A record with more than ``BLOCK`` items is divided into blocks of items, and
 each pair of blocks is work of its own, so no task holds one record's pairs.
@@ -89,6 +90,26 @@ def _pair_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([int(records)])], schema=_RUN_SCHEMA)
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of equal codes added up along a merged run; a code may go on in the next batch."""
+    last, held = -2, 0
+    for batch in batches:
+        codes, n = batch.column("code").to_numpy(), batch.column("n").to_numpy()
+        if not len(codes):
+            continue
+        starts = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+        sums = np.add.reduceat(n, starts)
+        own = codes[starts]
+        if own[0] == last:
+            sums[0] += held
+        elif last != -2:
+            own, sums = np.concatenate(([last], own)), np.concatenate(([held], sums))
+        last, held = own[-1], sums[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(own[:-1]), pa.array(sums[:-1])], schema=_RUN_SCHEMA)
+    if last != -2:
+        yield pa.RecordBatch.from_arrays([pa.array([int(last)]), pa.array([int(held)])], schema=_RUN_SCHEMA)
+
+
 def _live(rows: DataFrame, record: str, item: str) -> DataFrame:
     own = rows.where(F.col("deleted_at").isNull()) if "deleted_at" in rows.columns else rows
     return own.select(F.col(record).alias("record"), F.col(item).cast("bigint").alias("item")).dropna()
@@ -138,7 +159,7 @@ def code_counts(rows: DataFrame, record: str, item: str) -> tuple[DataFrame, Dat
         work = few.select("items", none.alias("others"), F.lit(1).cast("bigint").alias("records"))
         work = work.unionByName(_blocks(own.join(large, "record", "left_semi")))
     runs = work.mapInArrow(_pair_codes, "code bigint, n bigint")
-    return cut(runs.groupBy("code").agg(F.sum("n").alias("n"))), dictionary
+    return cut(runs.repartition("code").sortWithinPartitions("code").mapInArrow(_merged, "code bigint, n bigint")), dictionary
 
 
 def associations(rows: DataFrame, record: str, item: str) -> DataFrame:

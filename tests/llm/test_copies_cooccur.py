@@ -96,3 +96,14 @@ def test_beyond_chance_is_exact(spark):
     rows = [(1, 2, 10, 10, 5, 60), (1, 3, 10, 10, 5, 59), (1, 4, 10, 10, 4, 900), (1, 5, 3 * 10**9, 10**9, 3 * 10**8, 3 * 10**10)]
     table = spark.createDataFrame(rows, "a bigint, b bigint, n_a bigint, n_b bigint, n_ab bigint, n_records bigint")
     assert sorted(r.b for r in cooccur.beyond_chance(table).collect()) == [2, 5]
+
+
+def test_runs_are_merged_across_batches():
+    import pyarrow as pa
+
+    from pressfold.llm import cooccur
+
+    batches = [pa.RecordBatch.from_pydict({"code": pa.array(c, pa.int64()), "n": pa.array(n, pa.int64())}) for c, n in (([-1, 3, 3], [2, 1, 4]), ([], []), ([3], [5]), ([3, 7], [1, 1]), ([8], [9]))]
+    merged = [(c, n) for b in cooccur._merged(iter(batches)) for c, n in zip(*(b.column(k).to_pylist() for k in ("code", "n")), strict=True)]
+    assert merged == [(-1, 2), (3, 11), (7, 1), (8, 9)]
+    assert list(cooccur._merged(iter([]))) == []
