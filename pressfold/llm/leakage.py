@@ -2,17 +2,22 @@
 
 Texts are compared by their letters and digits in lower case. The terms of the
 index are the items' runs of ``GRAM`` characters, so that white space and
-punctuation may differ; each has a BM25 weight per item. A document that holds
-half of an item as one run holds all terms inside that run, so the smallest sum
-of weights over any run of half the length is a threshold that misses nothing.
-Postings lie in blocks of items with the largest weight of each term in each
-block: a block is skipped if the sum of these bounds stays below its smallest
-threshold, as in block-max WAND. What remains above its threshold is verified
-by the longest common run of characters.
+punctuation may differ; each has a BM25 weight per item. A document is queried
+passage by passage; passages overlap by the longest run that any item needs, so
+a run lies whole in one of them. A passage that holds half of an item as one run
+holds all terms inside that run, so the smallest sum of weights over any run of
+half the length is a threshold that misses nothing. Postings lie in blocks of
+items with the largest weight of each term in each block: a block is skipped if
+the sum of the passage's bounds stays below the smallest threshold of the block,
+as in block-max WAND; the bounds of a passage's terms are added up at once
+instead of moving a cursor for each term. What remains above its threshold is
+verified by the longest common run of characters, and the document is searched
+for the item's answer.
 
 Defined results: a null or empty text on either side matches nothing; items
 too short for a term in each half are sought by plain search; repeated rows
-give one row; an item that occurs in every document is found in every one.
+give one row; an item that occurs in every document is found in every one; an
+item without an answer has null for whether the answer is there.
 """
 
 from __future__ import annotations
@@ -30,8 +35,10 @@ GRAM = 8
 BLOCK = 16
 #: Fixed values of BM25: saturation and length normalisation.
 K1, B = 1.2, 0.75
-#: Upper bound of the items' text, which every worker holds.
+#: Bytes of items' text in one index, which every worker holds; more items are divided among several.
 MOST_ITEM_BYTES = 8 << 20
+#: Least length of a passage in letters and digits.
+PASSAGE = 512
 _NOT_COUNTED = re.compile(r"[\W_]+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -73,6 +80,7 @@ class Index:
     thresholds: np.ndarray
     places: np.ndarray
     place_starts: np.ndarray
+    least: np.ndarray
 
 
 def build(ids: list[int], texts: list[str], gram: int = GRAM) -> Index | None:
@@ -109,7 +117,7 @@ def build(ids: list[int], texts: list[str], gram: int = GRAM) -> Index | None:
         weight = np.array([weights[starts[r] + np.searchsorted(items[starts[r] : starts[r + 1]], k)] for r in rank])
         thresholds[k] = _least_window(rank, weight, span)
     place_starts = np.append(at, len(flat))
-    return Index(np.array([i for i, _ in kept]), codes, needed, terms, starts, items, weights, block_starts, block[head], bounds, thresholds, place, place_starts)
+    return Index(np.array([i for i, _ in kept]), codes, needed, terms, starts, items, weights, block_starts, block[head], bounds, thresholds, place, place_starts, np.minimum.reduceat(thresholds, np.arange(0, len(codes), BLOCK)))
 
 
 def _least_window(rank: np.ndarray, weight: np.ndarray, span: int) -> float:
@@ -136,15 +144,33 @@ def _slices(starts: np.ndarray, ranks: np.ndarray) -> np.ndarray:
 
 def candidates(index: Index, ranks: np.ndarray) -> list[int]:
     """Items whose score for a passage of these distinct terms reaches their threshold."""
-    least = np.minimum.reduceat(index.thresholds, np.arange(0, len(index.ids), BLOCK))
     at = _slices(index.block_starts, ranks)
-    open_blocks = np.bincount(index.blocks[at], index.bounds[at], minlength=len(least)) >= least * (1 - 1e-9)
-    if not open_blocks.any():
+    touched, own = np.unique(index.blocks[at], return_inverse=True)
+    open_blocks = touched[np.bincount(own, index.bounds[at]) >= index.least[touched] * (1 - 1e-9)]
+    if not len(open_blocks):
         return []
     at = _slices(index.starts, ranks)
-    at = at[open_blocks[index.items[at] // BLOCK]]
-    score = np.bincount(index.items[at], index.weights[at], minlength=len(index.ids))
-    return np.flatnonzero(score >= index.thresholds).tolist()
+    block = index.items[at] // BLOCK
+    place = np.minimum(np.searchsorted(open_blocks, block), len(open_blocks) - 1)
+    at = at[open_blocks[place] == block]
+    found, own = np.unique(index.items[at], return_inverse=True)
+    return found[np.bincount(own, index.weights[at]) >= index.thresholds[found]].tolist()
+
+
+def passages(index: Index, places: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First and last of the found terms, by their places, of each passage that holds any."""
+    overlap = int(index.needed.max())
+    size = max(PASSAGE, 2 * overlap)
+    step = size - overlap
+    k = 0
+    while k < len(places):
+        begin = max(0, (int(places[k]) - size) // step + 1) * step  # the first passage that reaches the term
+        while begin <= places[k]:
+            a, b = np.searchsorted(places, (begin, begin + size))
+            yield int(a), int(b)
+            begin += step
+        k = int(np.searchsorted(places, begin))
+        k = max(k, b)
 
 
 def longest_run(index: Index, item: int, doc: np.ndarray, places: np.ndarray, ranks: np.ndarray, gram: int = GRAM) -> int:
@@ -184,37 +210,63 @@ def matches(index: Index, texts: list[str | None], gram: int = GRAM) -> Iterator
         if not len(places):
             continue
         ranks = at[places]
-        for item in candidates(index, np.unique(ranks)):
-            if longest_run(index, item, doc, places, ranks, gram) >= index.needed[item]:
-                yield row, item
+        found: set[int] = set()
+        for a, b in passages(index, places):
+            for item in candidates(index, np.unique(ranks[a:b])):
+                if item not in found and longest_run(index, item, doc, places[a:b], ranks[a:b], gram) >= index.needed[item]:
+                    found.add(item)
+                    yield row, item
+
+
+def leaked(documents: DataFrame, items: DataFrame, *, text: str = "text", most: int = MOST_ITEM_BYTES) -> DataFrame:
+    """(doc_id, item_id) of the documents that hold at least half of an item as one run."""
+    return hits(documents, items, text=text, most=most).select("doc_id", "item_id")
 
 
-def leaked(documents: DataFrame, items: DataFrame, *, text: str = "text") -> DataFrame:
-    """(doc_id, item_id) of the documents that hold at least half of an item as one run.
+def hits(documents: DataFrame, items: DataFrame, *, text: str = "text", most: int = MOST_ITEM_BYTES) -> DataFrame:
+    """(doc_id, item_id, with_answer) of the documents that hold at least half of an item as one run.
 
-    The items are gathered at the driver and held by every worker: a table of
-    more than ``MOST_ITEM_BYTES`` of text is refused.
+    ``items`` has item_id, text and, if there are any, answer. An index holds at most about
+    ``most`` bytes of text, gathered at the driver and broadcast; more items
+    are divided among several indexes, each with a pass over the documents.
     """
-    own = items.select("item_id", F.col(text).alias("t")).where("item_id is not null and t is not null").distinct()
-    size = own.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    if size > MOST_ITEM_BYTES:
-        raise ValueError(f"the items have {size} bytes of text; the index may hold {MOST_ITEM_BYTES}")
-    rows = own.collect()
-    ids, texts = [r[0] for r in rows], [r[1] for r in rows]
-    short = [(i, bare(t)) for i, t in zip(ids, texts, strict=True) if 0 < len(bare(t)) < 2 * GRAM]
-    long = [(i, t) for i, t in zip(ids, texts, strict=True) if len(bare(t)) >= 2 * GRAM]
-    index = build([i for i, _ in long], [t for _, t in long]) if long else None
+    answer = F.col("answer") if "answer" in items.columns else F.lit(None).cast("string").alias("answer")
+    own = items.select("item_id", F.col(text).alias("t"), answer).where("item_id is not null and t is not null").distinct()
+    size = own.agg(F.coalesce(F.sum(F.octet_length("t") + F.coalesce(F.octet_length("answer"), F.lit(0))), F.lit(0))).first()[0]
+    parts = max(1, -(-size // most))
+    docs = documents.select("doc_id", F.col(text).alias("t")).where("doc_id is not null and t is not null")
+    found = None
+    for part in range(parts):
+        rows = own.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).collect()
+        held = documents.sparkSession.sparkContext.broadcast(_Held([tuple(r) for r in rows]))
+        hits = docs.mapInPandas(_searcher(held), "doc_id bigint, item_id bigint, with_answer boolean")
+        found = hits if found is None else found.unionByName(hits)
+    return found.groupBy("doc_id", "item_id").agg(F.max("with_answer").alias("with_answer"))
+
 
+class _Held:
+    """The items of one index, those too short for it, and their answers."""
+
+    def __init__(self, rows: list[tuple[int, str, str | None]]) -> None:
+        bared = [(i, t, bare(t)) for i, t, _ in rows]
+        self.short = [(i, b) for i, _, b in bared if 0 < len(b) < 2 * GRAM]
+        long = [(i, t) for i, t, b in bared if len(b) >= 2 * GRAM]
+        self.index = build([i for i, _ in long], [t for _, t in long]) if long else None
+        self.answers = {i: b for i, _, a in rows if a and (b := bare(a))}
+
+
+def _searcher(held):  # noqa: ANN001, ANN202
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own: _Held = held.value
         for b in batches:
             docs = [t if isinstance(t, str) else None for t in b["t"]]
-            found = [(row, index.ids[item]) for row, item in matches(index, docs)] if index else []
+            found = [(row, int(own.index.ids[item])) for row, item in matches(own.index, docs)] if own.index else []
             for row, t in enumerate(docs):
-                if t and short:
+                if t and own.short:
                     all_of = bare(t)
-                    found += [(row, i) for i, s in short if any(s[k : k + (len(s) + 1) // 2] in all_of for k in range(len(s) // 2 + 1))]
+                    found += [(row, i) for i, s in own.short if any(s[k : k + (len(s) + 1) // 2] in all_of for k in range(len(s) // 2 + 1))]
+            answered = [(a in bare(docs[row])) if (a := own.answers.get(i)) else None for row, i in found]
             at = [row for row, _ in found]
-            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[at], "item_id": np.array([i for _, i in found], dtype=np.int64)})
+            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[at], "item_id": np.array([i for _, i in found], dtype=np.int64), "with_answer": pd.array(answered, dtype="boolean")})
 
-    docs = documents.select("doc_id", F.col(text).alias("t")).where("doc_id is not null and t is not null")
-    return docs.mapInPandas(search, "doc_id bigint, item_id bigint").distinct()
+    return search

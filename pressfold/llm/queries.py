@@ -82,12 +82,20 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked(table(spark, folder, "documents"), table(spark, folder, "eval_item"))
 
 
+def p9_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Every test item with the number of documents it leaked into, and of those that hold its answer too."""
+    items = table(spark, folder, "eval_item")
+    hits = leakage.hits(table(spark, folder, "documents"), items).groupBy("item_id").agg(F.count("*").alias("n"), F.count_if("with_answer").alias("m"))
+    zero = F.lit(0)
+    return items.select("item_id", "suite").distinct().join(hits, "item_id", "left").select("item_id", "suite", F.coalesce("n", zero).alias("documents"), F.coalesce("m", zero).alias("with_answer"))
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentences(table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_batches, p2_found, p2_copy_counts, p3_found, p3_composition, p4_found, p6_found, p6_pairs, p7_found, p7_shares, p8_ids, p9_found, p10_found)
+    f.__name__: f for f in (p1_found, p1_batches, p2_found, p2_copy_counts, p3_found, p3_composition, p4_found, p6_found, p6_pairs, p7_found, p7_shares, p8_ids, p9_found, p9_items, p10_found)
 }
 
 _KEYED = r"""
@@ -116,9 +124,24 @@ WITH live AS (
   FROM pair JOIN single p ON p.tag_id = a JOIN single q ON q.tag_id = b
 )
 """
+_LEAKED = r"""
+WITH docs AS (
+  SELECT doc_id, lower(regexp_replace(text, '[^\p{L}\p{N}]+', '', 'g')) AS d FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), items AS (
+  SELECT item_id, lower(regexp_replace(text, '[^\p{L}\p{N}]+', '', 'g')) AS t, lower(regexp_replace(answer, '[^\p{L}\p{N}]+', '', 'g')) AS a FROM eval_item WHERE item_id IS NOT NULL
+), halves AS (
+  SELECT item_id, a, substr(t, k, (length(t) + 1) // 2) AS half FROM (SELECT *, unnest(range(1, length(t) // 2 + 2)) AS k FROM items WHERE length(t) > 0)
+), hits AS (
+  SELECT doc_id, item_id, bool_or(a <> '' AND contains(d, a)) AS with_answer FROM docs JOIN halves ON contains(d, half) GROUP BY ALL
+)
+"""
 SQL: dict[str, str] = {
     "p2_found": _KEYED + "SELECT first_id, id AS dup_id FROM (SELECT id, min(id) OVER (PARTITION BY key) AS first_id FROM keyed) WHERE id <> first_id",
     "p2_copy_counts": _KEYED + "SELECT min(id) AS first_id, count(*) AS copies FROM keyed GROUP BY key",
+    "p9_found": _LEAKED + "SELECT doc_id, item_id FROM hits",
+    "p9_items": _LEAKED
+    + """SELECT i.item_id, i.suite, count(h.doc_id) AS documents, count(*) FILTER (h.with_answer) AS with_answer
+    FROM (SELECT DISTINCT item_id, suite FROM eval_item) i LEFT JOIN hits h ON h.item_id = i.item_id GROUP BY ALL""",
     "p6_found": _PAIRS + "SELECT tag_id_a, tag_id_b FROM stats WHERE n_ab >= 5 AND n_ab::HUGEINT * n_records >= 3 * n_a::HUGEINT * n_b",
     "p6_pairs": _PAIRS
     + """SELECT tag_id_a, tag_id_b, n_a, n_b, n_ab, n_records,

@@ -198,3 +198,29 @@ def test_mixtures_do_not_rise_in_error():
     v[columns] = 1
     mix = model.mixtures(columns, np.zeros(12, dtype=np.int64), 1)
     assert (mix >= 0).all() and np.linalg.norm(v - mix @ h) <= np.linalg.norm(v)
+
+
+def test_leaks_with_several_indexes_answers_and_long_documents(spark):
+    items, docs = leak_rows(7)
+    pick = random.Random(4)
+    filler = "".join(pick.choice("qzxwvj ") for _ in range(50_000))
+    items += [(200, "zebra quilt " * 3 + "lantern orbit marmalade " * 40)]
+    docs += [(2000, filler + ("zebra quilt " * 3 + "lantern orbit marmalade " * 40)[200:760] + filler + "Answer: FORTY-two" + filler), (2001, filler)]
+    table = spark.createDataFrame([(i, t, "forty two" if i == 200 else None) for i, t in items], "item_id bigint, text string, answer string")
+    frame = spark.createDataFrame([(d, t, "x") for d, t in docs], DOCS)
+    expected = {(d, i) for d, t in docs for i, x in items if i is not None and has_half(t, x)}
+    for most in (leakage.MOST_ITEM_BYTES, 600):
+        found = leakage.hits(frame, table, most=most).collect()
+        assert {(r.doc_id, r.item_id) for r in found} == expected and len(found) == len(expected)
+        assert {r.doc_id: r.with_answer for r in found if r.item_id == 200} == {2000: True}
+        assert all(r.with_answer is None for r in found if r.item_id != 200)
+
+
+def test_passages_hold_every_run():
+    items = [(1, "abcdefgh" * 60), (2, "the quick brown fox jumps over the lazy dog")]
+    index = leakage.build([i for i, _ in items], [t for _, t in items])
+    places, need = np.unique(np.random.default_rng(1).integers(0, 20_000, 900)), int(index.needed.max())
+    spans = list(leakage.passages(index, places))
+    for at in range(len(places)):
+        run = np.searchsorted(places, places[at] + need - leakage.GRAM + 1)
+        assert any(a <= at and run <= b for a, b in spans)
