@@ -11,11 +11,14 @@ The model is fitted on boundaries that are certain from layout: the last mark
 of a paragraph, before the first word of the next one, is a boundary; a mark
 before a small letter, inside a number, after a word that never ends a
 paragraph or before one that never starts one is none. The fit uses the
-documents of a bounded sample, ``TRAIN_DOCUMENTS``; every text is then divided
-by the same model.
+documents of a bounded sample: the ``TRAIN_DOCUMENTS`` that come first by a
+hash of their id, but for texts over ``TRAIN_BYTES``; every text is then
+divided by the same model. Wide marks before plain text, spaces in Thai and
+marks inside numbers, names and addresses are decided by rule; the model decides
+on all other candidates.
 
 Defined results: null, empty and blank texts have no rows; white space around a
-unit is left out; repeated rows of a document give its sentences once; one
+unit is left out; of rows that repeat a document's id one counts; one
 paragraph may be as long as its document; unmatched quotes and brackets are ignored.
 """
 
@@ -27,12 +30,14 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documents that the model is fitted on, at most about so many.
-TRAIN_DOCUMENTS = 8000
+from pressfold.session import stored
+
+#: Documents that the model is fitted on, at most, and the bytes of the longest.
+TRAIN_DOCUMENTS, TRAIN_BYTES = 8000, 1 << 14
 #: A word counts as never ending or starting a paragraph if it had this many chances.
 CHANCES = 20
 
@@ -95,10 +100,10 @@ def _spans(text: str, start: int, end: int) -> list[tuple[int, int]]:
 
 def _token_before(text: str, start: int, at: int) -> tuple[str, bool]:
     """The token that ends at ``at``, digits as 9, and whether the token before it also ends in a full stop."""
-    k = at
-    while k > start and not text[k - 1].isspace() and at - k < 24:
-        k -= 1
-    own = text[k:at].lstrip("([{\"'“‘„«「『（《")
+    own = text[max(start, at - 24) : at]
+    own = own.rsplit(None, 1)[-1] if own and not own[-1].isspace() else ""
+    k = at - len(own)
+    own = own.lstrip("([{\"'“‘„«「『（《")
     if not own and k > start:  # an emoji or a mark stands alone
         own = text[max(start, k - 8) : k].strip()
     own = _UNSPACED.split(own)[-1]
@@ -110,10 +115,8 @@ def _token_before(text: str, start: int, at: int) -> tuple[str, bool]:
 
 
 def _token_after(text: str, at: int, end: int) -> str:
-    k = at
-    while k < end and not text[k].isspace() and k - at < 14:
-        k += 1
-    own = _DIGITS.sub("9", text[at:k])
+    own = text[at : min(end, at + 14)]
+    own = _DIGITS.sub("9", own.split(None, 1)[0]) if own and not own[0].isspace() else ""
     bare = own.lstrip("([{\"'“‘„«「『（《")
     if bare and _script(bare[0]) in "hj":
         return own[: len(own) - len(bare) + 2]
@@ -199,10 +202,14 @@ def _blocks(text: str) -> Iterator[tuple[int, int, bool]]:
 
 
 class Model:
-    """Weights of the features; a candidate is a boundary if their sum is positive."""
+    """Weights of the features; a candidate is a boundary if their sum is positive. Decisions are kept for contexts that come again."""
 
     def __init__(self, weights: dict[str, float]) -> None:
         self.weights = weights
+        self.decided: dict[tuple, bool] = {}
+
+    def __getstate__(self) -> dict:
+        return {"weights": self.weights, "decided": {}}
 
     def score(self, context: tuple) -> float:
         get = self.weights.get
@@ -211,6 +218,14 @@ class Model:
     def boundary(self, context: tuple | None) -> bool:
         if context is None:
             return True
+        known = self.decided.get(context)
+        if known is None:
+            if len(self.decided) >= 1 << 18:
+                self.decided.clear()
+            known = self.decided[context] = self._decide(context)
+        return known
+
+    def _decide(self, context: tuple) -> bool:
         mark, closer, gap, before, _, after = context
         if mark[-1] in WIDE_ENDS and not closer:
             return True
@@ -331,27 +346,39 @@ def fit(texts: list[str], rounds: int = 8, least: int = 3) -> Model:
     return Model(PRIOR | {f: float(weights[k]) for f, k in names.items()} | {"bias": float(weights[bias])})
 
 
-def sample(documents: DataFrame, bound: int = TRAIN_DOCUMENTS, *, text: str = "text") -> list[str]:
-    """The texts of about ``bound`` documents, taken by a hash of their text."""
-    own = documents.select(F.col(text).alias("t")).where("t is not null")
-    total = own.count()
-    share = max(1, -(-total // bound))
-    return [r[0] for r in own.where(F.pmod(F.xxhash64("t"), F.lit(share)) == 0).collect()]
+def sample(documents: DataFrame, bound: int = TRAIN_DOCUMENTS, *, text: str = "text", most: int = TRAIN_BYTES) -> list[str]:
+    """The distinct texts of at most ``bound`` documents, the first by a hash of their id, none of more than ``most`` bytes."""
+    own = documents.select("doc_id", F.col(text).alias("t")).where("doc_id is not null and t is not null").where(F.octet_length("t") <= most)
+    first = own.orderBy(F.xxhash64("doc_id"), "doc_id", "t").limit(bound)
+    return sorted({r.t for r in first.collect()})
 
 
-def sentences(documents: DataFrame, *, text: str = "text", model: Model | None = None) -> DataFrame:
-    """(doc_id, start_char, end_char) of every sentence."""
-    model = model or fit(sorted(sample(documents, text=text)))
+def _once(own: DataFrame) -> DataFrame:
+    """One row for each doc_id; only rows of repeated ids are shuffled with their text."""
+    repeated = stored(own.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return own
+    return own.join(repeated, "doc_id", "left_anti").unionByName(own.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _divider(held):  # noqa: ANN001, ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held.value
         for b in batches:
             ids, starts, ends = [], [], []
-            for doc, t in zip(b["doc_id"], b["t"], strict=True):
+            for doc, t in zip(*(b.column(c).to_pylist() for c in ("doc_id", "t")), strict=True):
                 found = divide(t, model)
                 ids += [doc] * len(found)
                 starts += [a for a, _ in found]
                 ends += [e for _, e in found]
-            yield pd.DataFrame({"doc_id": np.array(ids, dtype=np.int64), "start_char": np.array(starts, dtype=np.int64), "end_char": np.array(ends, dtype=np.int64)})
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (ids, starts, ends)], names=["doc_id", "start_char", "end_char"])
 
+    return run
+
+
+def sentences(documents: DataFrame, *, text: str = "text", model: Model | None = None) -> DataFrame:
+    """(doc_id, start_char, end_char) of every sentence; of rows that repeat a doc_id one counts."""
+    model = model or fit(sample(documents, text=text))
+    held = documents.sparkSession.sparkContext.broadcast(model)
     own = documents.select("doc_id", F.col(text).alias("t")).where("doc_id is not null and t is not null and t <> ''")
-    return own.mapInPandas(run, "doc_id bigint, start_char bigint, end_char bigint")
+    return _once(own).mapInArrow(_divider(held), "doc_id bigint, start_char bigint, end_char bigint")

@@ -224,3 +224,12 @@ def test_passages_hold_every_run():
     for at in range(len(places)):
         run = np.searchsorted(places, places[at] + need - leakage.GRAM + 1)
         assert any(a <= at and run <= b for a, b in spans)
+
+
+def test_sample_and_repeated_documents(spark):
+    rows = [(i, "One text. The same for all." if i % 3 else f"Text {i}. It is short.", None) for i in range(300)] + [(1000, "x" * 100_000, None), (7, "One text. The same for all.", "again"), (None, "A.", None)]
+    table = spark.createDataFrame(rows, DOCS)
+    assert len(sentences.sample(table, 50)) <= 50 and max(map(len, sentences.sample(table))) <= sentences.TRAIN_BYTES
+    assert sentences.sample(table.where("doc_id % 3 = 1")) == ["One text. The same for all."]
+    found = [tuple(r) for r in sentences.sentences(table, model=sentences.fit([])).collect()]
+    assert len(found) == len(set(found)) and [f for f in sorted(found) if f[0] == 7] == [(7, 0, 9), (7, 10, 27)]
