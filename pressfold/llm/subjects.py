@@ -2,7 +2,8 @@
 
 The matrix of articles and terms (words and pairs of neighbouring words of
 title and summary) is factored into non-negative mixtures and components by
-alternating multiplicative updates. A component is anchored to each subject: it
+alternating multiplicative updates, until the mixtures fit the labelled articles
+no better or the components change no more. A component is anchored to each subject: it
 starts from the terms that labelled articles of the subject have in excess, and
 a term that they show for other subjects only keeps the weight zero; one more
 component takes what all texts share. An article's mixture then directly gives
@@ -25,7 +26,7 @@ no component, so no article has a subject; repeated rows give one row.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -43,8 +44,8 @@ TERM_SHARE, TERM_ROWS = 1e-4, 4
 PURITY, CHANCE, UNKNOWN = 0.9, 3.0, 2
 #: A text says nothing of a subject if it says less than this part of what labelled articles usually do.
 QUIET = 0.003
-#: Passes over the articles that update the components, and updates of a mixture in a pass.
-PASSES, UPDATES = 2, 12
+#: Most passes over the articles that update the components, the change below which they have converged, and updates of a mixture in a pass.
+PASSES, CONVERGED, UPDATES = 8, 0.02, 12
 #: Share of a tag's articles that must be about a subject for the tag to speak for it.
 TAG_SHARE, TAGS_NEEDED = 0.55, 2
 
@@ -189,10 +190,11 @@ def _seed(counts: pd.DataFrame, subjects: list[int], total: int) -> Model:
     return Model(terms, weights, components)
 
 
-def _updater(model: Model, size: int):  # noqa: ANN202
-    """A task's share of the sums that update the components: (term, row) for the products, term -1 - k for the mixtures' own."""
+def _updater(held, size: int):  # noqa: ANN001, ANN202
+    """A task's share of the sums that update the components: a row for each term it has seen, place -1 - k for the mixtures' own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model = held.value
         products = np.zeros((len(model.components), len(model.terms)))
         gram = np.zeros((size, size))
         for batch in batches:
@@ -202,29 +204,46 @@ def _updater(model: Model, size: int):  # noqa: ANN202
             gram += mix.T @ mix
             for k in range(size):
                 products[k] += np.bincount(columns, mix[owner, k] * model.weights[columns], minlength=len(model.terms))
-        place = np.arange(len(model.terms) + size) - size
-        yield pa.RecordBatch.from_arrays([pa.array(place), *(pa.array(np.concatenate((gram[k], products[k]))) for k in range(size))], names=["place", *(f"c{k}" for k in range(size))])
+        seen = np.flatnonzero(products.any(axis=0))
+        place = np.concatenate((np.arange(size) - size, seen))
+        yield pa.RecordBatch.from_arrays([pa.array(place), *(pa.array(np.concatenate((gram[k], products[k, seen]))) for k in range(size))], names=["place", *(f"c{k}" for k in range(size))])
 
     return run
 
 
-def factor(articles: DataFrame, model: Model) -> Model:
-    """Update the components over all articles; every pass is one job whose sums have a row for each term."""
+def factor(articles: DataFrame, model: Model, fitness: Callable[[Model], float] | None = None) -> Model:
+    """Update the components over all articles; every pass is one job whose sums have a row for each term.
+
+    Passes end when ``fitness`` falls, and the model before is kept, or when the
+    components change by less than ``CONVERGED`` of their length.
+    """
     size = len(model.components)
-    for _ in range(PASSES):
-        schema = "place bigint, " + ", ".join(f"c{k} double" for k in range(size))
-        sums = articles.select("terms").mapInArrow(_updater(model, size), schema).groupBy("place").agg(*(F.sum(f"c{k}").alias(f"c{k}") for k in range(size)))
-        table = sums.toPandas().sort_values("place")
-        values = table[[f"c{k}" for k in range(size)]].to_numpy()
-        gram, products = values[:size], values[size:].T
+    schema = "place bigint, " + ", ".join(f"c{k} double" for k in range(size))
+    best = fitness(model) if fitness else 0.0
+    for step in range(PASSES):
+        held = articles.sparkSession.sparkContext.broadcast(model)
+        sums = articles.select("terms").mapInArrow(_updater(held, size), schema).groupBy("place").agg(*(F.sum(f"c{k}").alias(f"c{k}") for k in range(size)))
+        table = sums.toPandas()  # at most a row for each term of the model
+        held.destroy()
+        at, values = table["place"].to_numpy(), table[[f"c{k}" for k in range(size)]].to_numpy()
+        gram, products = np.zeros((size, size)), np.zeros((size, len(model.terms)))
+        gram[at[at < 0] + size] = values[at < 0]
+        products[:, at[at >= 0]] = values[at >= 0].T
         h = model.components * products / np.maximum(gram @ model.components, 1e-12)
         h /= np.maximum(np.sqrt((h**2).sum(axis=1, keepdims=True)), 1e-12)
-        model = Model(model.terms, model.weights, h)
+        change = np.linalg.norm(h - model.components) / max(np.linalg.norm(model.components), 1e-12)
+        after = Model(model.terms, model.weights, h)
+        fits = fitness(after) if fitness else 1.0
+        if fits < best and step > 0:
+            break
+        model, best = after, fits
+        if change < CONVERGED:
+            break
     return model
 
 
-def _best_threshold(shares: np.ndarray, mass: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
-    """The share that fits the labelled articles best, and the least that a text must say."""
+def _best_threshold(shares: np.ndarray, mass: np.ndarray, truth: np.ndarray) -> tuple[float, float, float]:
+    """The share that fits the labelled articles best, the least that a text must say, and how well they fit."""
     floor = float(QUIET * np.median(mass)) if len(mass) else 0.0
     best = (-1.0, 0.2)
     for share in np.arange(0.01, 0.4, 0.005):
@@ -232,13 +251,14 @@ def _best_threshold(shares: np.ndarray, mass: np.ndarray, truth: np.ndarray) ->
         f = 2 * (said & truth).sum() / max(said.sum() + truth.sum(), 1)
         if f > best[0] + 1e-9:
             best = (f, float(share))
-    return best[1], floor
+    return best[1], floor, best[0]
 
 
-def _judged(model: Model, subjects: list[int]):  # noqa: ANN202
+def _judged(held, subjects: list[int]):  # noqa: ANN001, ANN202
     ids = np.array(subjects, dtype=np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model = held.value
         for batch in batches:
             flat, offsets = _flat(batch)
             columns, owner = model.place(flat, offsets)
@@ -273,13 +293,12 @@ def subjects_of(articles: DataFrame, labels: DataFrame, article_tags: DataFrame,
     counts = often.select("term", "subject", "n").unionByName(by_subject.select("term", "subject", "n")).toPandas()
     sizes = single.groupBy("subject").count().toPandas().set_index("subject")["count"]
     counts["articles"] = counts["subject"].map(sizes).fillna(total)
-    model = factor(terms, _seed(counts, names, total))
-
     scored = "id bigint, subject int, share double, mass double"
     trial = with_labels.groupBy("id").agg(F.first("terms").alias("terms"), F.collect_set("subject").alias("truth")).toPandas()
-    shares, mass, truth = _score(model, trial, names)
-    least_share, least_mass = _best_threshold(shares, mass, truth)
-    spoken = stored(terms.mapInArrow(_judged(model, names), scored))
+    model = factor(terms, _seed(counts, names, total), lambda m: _best_threshold(*_score(m, trial, names))[2])
+    least_share, least_mass, _ = _best_threshold(*_score(model, trial, names))
+    held = terms.sparkSession.sparkContext.broadcast(model)
+    spoken = stored(terms.mapInArrow(_judged(held, names), scored))
     said = spoken.where((F.col("share") >= least_share) & (F.col("mass") >= least_mass)).select("id", "subject")
     by_tags = _tag_subjects(said, terms.select("id"), article_tags, tags)
     found = said.unionByName(by_tags).join(known.select("id").distinct(), "id", "left_anti").unionByName(known.join(terms.select("id"), "id", "left_semi").select("id", "subject"))
