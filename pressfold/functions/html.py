@@ -39,7 +39,7 @@ class Node:
             stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
 
     def text(self) -> str:
-        """The visible text, white space collapsed."""
+        """The visible text, white space collapsed, zero-width spaces and soft hyphens left out."""
         parts: list[str] = []
         stack: list[Node | str] = [self]
         while stack:
@@ -55,7 +55,7 @@ class Node:
                 stack.extend(reversed(item.children))
                 if block:
                     parts.append(" ")
-        return re.sub(r"[ \t\n\f\r\xa0]+", " ", "".join(parts)).strip(" ")
+        return re.sub(r"[ \t\n\f\r\xa0]+", " ", re.sub("[\u200b\u00ad]", "", "".join(parts))).strip(" ")
 
     def get(self, name: str) -> str:
         return self.attrs.get(name, "")

@@ -28,6 +28,12 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[ \t\n\f\r]+", " ")
 
 
+def tooltip(time: Column) -> Column:
+    """A time in full, as a Korean reader writes it: ``2025. 06. 30. 오후 12:05``."""
+    half = F.when(F.hour(time) < 12, "오전").otherwise("오후")
+    return F.concat(F.date_format(time, "yyyy. MM. dd. "), half, F.date_format(time, " hh:mm"))
+
+
 def cut_summary(text: Column) -> Column:
     """Texts over 200 characters cut there, with three dots."""
     return F.when(F.length(text) > SUMMARY_LIMIT, F.concat(F.substring(text, 1, SUMMARY_LIMIT), F.lit("..."))).otherwise(text)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, field
 from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressfold.operators.listing import check_page
+from pressfold.operators.listing import check_page, page_numbers
 from pressfold.operators.predicates import active, by_ids, name_match, search_text
 from pressfold.schemas import CORPORATION, CORPORATION_INDUSTRY, LIMITS
 
@@ -80,11 +81,35 @@ def company_page(corporations: DataFrame, links: DataFrame, industries: DataFram
     return with_industries(best, own, industries).orderBy(*order).select("id", "name", *LINKS, "industries", "created_at", "updated_at")
 
 
+def page_of(corporations: DataFrame, links: DataFrame, industries: DataFrame, *, search: str | None = None, page: int = 0, size: int = 10) -> dict:
+    """The list or search as a caller sees it: the rows of a page and its numbers."""
+    content = [r.asDict() for r in company_page(corporations, links, industries, search=search, page=page, size=size).collect()]  # one page
+    rows, wanted = corporations.where(active()), search_text(search)
+    total = (rows.where(name_match(wanted)) if wanted else rows).count()
+    return {"content": content, **asdict(page_numbers(total, page, size))}
+
+
+#: Statuses of what a caller may do with companies.
+DONE = {"GET": 200, "POST": 201, "PUT": 200, "DELETE": 200}
+
+
+def answered(method: str, call: Callable[[], object]) -> tuple[int, object]:
+    """(status, body) of a call: 404 for what a GET does not find, 400 for other faults, with the fields or the message."""
+    try:
+        return DONE[method], call()
+    except Invalid as wrong:
+        return 400, wrong.errors
+    except NotFound as wrong:
+        return (404, None) if method == "GET" else (400, {"message": f"company {wrong} not found"})
+    except ValueError as wrong:
+        return 400, {"message": str(wrong)}
+
+
 def _next_id(rows: DataFrame) -> int:
     return (rows.agg(F.max("id")).first()[0] or 0) + 1
 
 
-def _linked(links: DataFrame, industries: DataFrame, company: int, wanted: list[int] | None, now: datetime) -> DataFrame:
+def linked(links: DataFrame, industries: DataFrame, company: int, wanted: list[int] | None, now: datetime) -> DataFrame:
     """The bridge with this company's rows replaced; unknown industries are ignored, none clears them."""
     kept = links.where(F.col("corporation_id") != company)
     known = sorted(r[0] for r in by_ids(industries, list(wanted or [])).select("id").distinct().collect())
@@ -101,7 +126,7 @@ def create(corporations: DataFrame, links: DataFrame, industries: DataFrame, for
     company = _next_id(corporations)
     row = (company, form.name, form.home_link, form.blog_link, form.crew_link, form.logo_url, now, now, None)
     added = corporations.sparkSession.createDataFrame([row], CORPORATION)
-    return company, corporations.unionByName(added), _linked(links, industries, company, form.industry_ids, now)
+    return company, corporations.unionByName(added), linked(links, industries, company, form.industry_ids, now)
 
 
 def update(corporations: DataFrame, links: DataFrame, industries: DataFrame, company: int, form: CompanyForm, now: datetime) -> tuple[DataFrame, DataFrame]:
@@ -116,7 +141,7 @@ def update(corporations: DataFrame, links: DataFrame, industries: DataFrame, com
     new = {"name": form.name, **{c: getattr(form, c) for c in LINKS}}
     changed = {c: F.when(mine, F.lit(v).cast("string")).otherwise(F.col(c)) for c, v in new.items()}
     changed["updated_at"] = F.when(mine, F.lit(now).cast("timestamp_ntz")).otherwise(F.col("updated_at"))
-    return corporations.withColumns(changed), _linked(links, industries, company, form.industry_ids, now)
+    return corporations.withColumns(changed), linked(links, industries, company, form.industry_ids, now)
 
 
 def soft_delete(corporations: DataFrame, company: int, now: datetime) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressfold.functions.html import Node, parse
-from pressfold.functions.text import SHORTEST_TITLE, SUMMARY_LIMIT, absolute_link, dotted_day, iso_day, korean_date, korean_day, trimmed, wall_clock, without_resize
+from pressfold.functions.text import SHORTEST_TITLE, absolute_link, cut_summary, dotted_day, iso_day, korean_date, korean_day, trimmed, wall_clock, without_resize
 
 NOW, DROP = "now", "drop"
 
@@ -118,8 +118,8 @@ def records(html: str, provider: str, blog_link: str | None) -> Iterator[dict]:
     for item in parse(html).select(site.items):
         try:
             found = record(item, site)
-        except Exception:  # one broken item does not end the page
-            found = None
+        except Exception as error:  # one broken item does not end the page
+            found = dict.fromkeys(_FIELDS) | {"reject": f"{type(error).__name__}: {error}"[:500]}
         if found:
             yield found
 
@@ -129,7 +129,8 @@ def bucket_links(html: str) -> list[str]:
     return [a.get("href") for bucket in parse(html).select(MEDIUM_BUCKETS) if (a := bucket.first("a")) is not None]
 
 
-_COLUMNS = ["corporation_id", "blog_link", "page_url", "provider", "ordinal", "title", "link", "summary", "thumbnail_image", "date_text", "date_kind", "error"]
+_FIELDS = ["title", "link", "summary", "thumbnail_image", "date_text", "date_kind"]
+_COLUMNS = ["corporation_id", "blog_link", "page_url", "provider", "ordinal", *_FIELDS, "reject", "error"]
 
 
 def _page_rows(b: pd.DataFrame, read: Callable[[str, str, str | None], Iterator[dict]]) -> Iterator[tuple]:
@@ -138,21 +139,21 @@ def _page_rows(b: pd.DataFrame, read: Callable[[str, str, str | None], Iterator[
         try:
             found = list(read(html or "", provider, blog))
         except Exception as error:  # the page fails, its source is reported
-            yield (*head, None, None, None, None, None, None, None, f"{type(error).__name__}: {error}"[:500])
+            yield (*head, None, *(None for _ in _FIELDS), None, f"{type(error).__name__}: {error}"[:500])
             continue
         for k, r in enumerate(found):
-            yield (*head, k, r["title"], r["link"], r["summary"], r["thumbnail_image"], r["date_text"], r["date_kind"], None)
+            yield (*head, k, *(r[c] for c in _FIELDS), r.get("reject"), None)
 
 
 def raw_records(pages: DataFrame) -> DataFrame:
-    """Raw records of pages (corporation_id, blog_link, page_url, provider, html); an error row for a page that can't be parsed."""
+    """Raw records of pages (corporation_id, blog_link, page_url, provider, html); an error row for a page that can't be parsed, a reject for an item that breaks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = pd.DataFrame(list(_page_rows(b, records)), columns=_COLUMNS)
             yield out.astype({"ordinal": "Int32", "corporation_id": "Int64"})
 
-    schema = "corporation_id bigint, blog_link string, page_url string, provider string, ordinal int, title string, link string, summary string, thumbnail_image string, date_text string, date_kind string, error string"
+    schema = "corporation_id bigint, blog_link string, page_url string, provider string, ordinal int, title string, link string, summary string, thumbnail_image string, date_text string, date_kind string, reject string, error string"
     return pages.select("corporation_id", "blog_link", "page_url", "provider", "html").mapInPandas(run, schema)
 
 
@@ -181,6 +182,5 @@ def settled(raw: DataFrame, now: Column) -> DataFrame:
     image = F.col("thumbnail_image")
     default_image = F.when(~image.startswith("http") & image.startswith("/"), absolute_link(image, blog)).otherwise(image)
     picture = F.when(F.col("provider") == "Medium", without_resize(image)).when(F.col("provider") == "Tistory", image).otherwise(default_image)
-    summary = F.when(F.length("summary") > SUMMARY_LIMIT, F.concat(F.substring("summary", 1, SUMMARY_LIMIT), F.lit("..."))).otherwise(F.col("summary"))
-    out = raw.where("error is null").withColumns({"link": absolute, "thumbnail_image": picture, "summary": summary, "published_at": published(now)})
+    out = raw.where("error is null and reject is null").withColumns({"link": absolute, "thumbnail_image": picture, "summary": cut_summary(F.col("summary")), "published_at": published(now)})
     return out.where("link is not null and published_at is not null").select("corporation_id", "page_url", "provider", "ordinal", "title", "link", "summary", "thumbnail_image", "published_at")

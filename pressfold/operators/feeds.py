@@ -11,9 +11,10 @@ from email.utils import parsedate_to_datetime
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from pressfold.functions.html import parse
-from pressfold.functions.text import SHORTEST_TITLE, SUMMARY_LIMIT, feed_candidates, looks_like_feed
+from pressfold.functions.text import SHORTEST_TITLE, cut_summary, feed_candidates, looks_like_feed
 
 
 def candidates(corporations: DataFrame) -> DataFrame:
@@ -28,12 +29,17 @@ def unwrapped(body: Column) -> Column:
 
 
 def first_feed(tried: DataFrame, bodies: DataFrame) -> DataFrame:
-    """(corporation_id, feed_url, body): of each company the first candidate whose body is a feed."""
+    """(corporation_id, feed_url, body): of each company the first candidate whose body is a feed with an entry."""
+    filled = F.pandas_udf(lambda body: body.map(lambda b: next(entries(b or ""), None) is not None), BooleanType())
     found = tried.join(bodies.select(F.col("url").alias("feed_url"), unwrapped(F.col("body")).alias("body")), "feed_url").where(looks_like_feed(F.col("body")))
-    best = found.groupBy("corporation_id").agg(F.min_by(F.struct("feed_url", "body"), "ordinal").alias("feed"))
+    best = found.where(filled("body")).groupBy("corporation_id").agg(F.min_by(F.struct("feed_url", "body"), "ordinal").alias("feed"))
     return best.select("corporation_id", "feed.feed_url", "feed.body")
 
 
+#: What is trimmed from a title, control characters and spaces.
+_BLANK = "".join(map(chr, range(33)))
+
+
 def _text(node: ET.Element, *names: str) -> str | None:
     for child in node:
         if child.tag.rpartition("}")[2] in names:
@@ -78,10 +84,10 @@ def entries(body: str) -> Iterator[dict]:
         if node.tag.rpartition("}")[2] not in ("item", "entry"):
             continue
         title, link = _text(node, "title"), _link(node)
-        if not title or len(title.strip()) < SHORTEST_TITLE or not link or not link.strip():
+        if not title or len(title.strip(_BLANK)) < SHORTEST_TITLE or not link or not link.strip():
             continue
         described = _text(node, "description", "summary")
-        yield {"title": title.strip(), "link": link, "summary": parse(described).text() if described else "", "instant": instant(_text(node, "pubDate", "published", "date")) or instant(_text(node, "updated"))}
+        yield {"title": title.strip(_BLANK), "link": link, "summary": parse(described).text() if described else "", "instant": instant(_text(node, "pubDate", "published", "date")) or instant(_text(node, "updated"))}
 
 
 def feed_records(feeds: DataFrame, now: Column, zone: str = "UTC") -> DataFrame:
@@ -94,6 +100,5 @@ def feed_records(feeds: DataFrame, now: Column, zone: str = "UTC") -> DataFrame:
             yield out.assign(instant=pd.to_datetime(out["instant"]))
 
     raw = feeds.select("corporation_id", "feed_url", "body").mapInPandas(run, "corporation_id bigint, feed_url string, ordinal int, title string, link string, summary string, instant timestamp_ntz")
-    summary = F.when(F.length("summary") > SUMMARY_LIMIT, F.concat(F.substring("summary", 1, SUMMARY_LIMIT), F.lit("..."))).otherwise(F.col("summary"))
     local = F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col("instant"))
-    return raw.select("corporation_id", F.col("feed_url").alias("page_url"), F.lit("Default").alias("provider"), "ordinal", "title", "link", summary.alias("summary"), F.lit(None).cast("string").alias("thumbnail_image"), F.coalesce(local, now).alias("published_at"))
+    return raw.select("corporation_id", F.col("feed_url").alias("page_url"), F.lit("Default").alias("provider"), "ordinal", "title", "link", cut_summary(F.col("summary")).alias("summary"), F.lit(None).cast("string").alias("thumbnail_image"), F.coalesce(local, now).alias("published_at"))

@@ -13,11 +13,16 @@ from pressfold.operators.extract import raw_records, settled
 from pressfold.operators.predicates import active, blank_link, crawlable, too_long
 from pressfold.schemas import CRAWL_RESULT, LIMITS
 from pressfold.session import stored
+from pressfold.sources.pages import bucket_pages
 
 NO_LINK = "no blog link"
 CHALLENGE = "challenge page"
 TOO_LONG = "title or link too long"
 NOT_FETCHED = "page not fetched"
+#: Fixed value: where an archive is, behind the blog's link.
+ARCHIVE = "/archive"
+_GATED = ("corporation_id", "corporation_name", "blog_link", "page_url", "provider", "html", "gate")
+_REJECTS = "corporation_id bigint, page_url string, ordinal int, reject string"
 
 
 def first_by_link(records: DataFrame) -> DataFrame:
@@ -34,10 +39,11 @@ def unknown_links(records: DataFrame, articles: DataFrame) -> DataFrame:
 
 @dataclass
 class Run:
-    """New articles of a run, and one report row for each of its sources."""
+    """New articles of a run, one report row for each of its sources, and the items that could not be read (corporation_id, page_url, ordinal, reject)."""
 
     articles: DataFrame
     report: DataFrame
+    rejects: DataFrame
 
 
 def with_ids(records: DataFrame, articles: DataFrame, now: Column) -> DataFrame:
@@ -54,10 +60,19 @@ def with_ids(records: DataFrame, articles: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def ingest(corporations: DataFrame, pages: DataFrame, articles: DataFrame, now: Column, *, enabled: bool = True) -> Run:
-    """Read the pages (url, html) of all crawlable companies.
+def start_page() -> Column:
+    """The page where a source is entered: an archive for Medium, else the blog itself."""
+    blog = F.col("blog_link")
+    return F.when(provider_of(blog) == "Medium", F.concat(blog, F.lit(ARCHIVE))).otherwise(blog)
 
-    A source fails as a whole if it has no link, its page was not fetched,
+
+def ingest(corporations: DataFrame, pages: DataFrame, articles: DataFrame, now: Column, *, enabled: bool = True, fetched_only: bool = False) -> Run:
+    """Read the pages (url, html, optionally error: what went wrong when it was fetched, a time-out for instance) of all crawlable companies.
+
+    A Medium source is entered at its archive, whose buckets lead to the pages
+    with its records; the records of all buckets count, repeated or not. With
+    ``fetched_only`` only companies take part whose start page is among the pages.
+    A source fails as a whole if it has no link, a page of it was not fetched,
     asks to prove to be human or can't be parsed, or a record exceeds a limit.
     ``total_articles`` equals ``new_articles``; ``extracted_articles`` counts
     what the pages held.
@@ -65,19 +80,26 @@ def ingest(corporations: DataFrame, pages: DataFrame, articles: DataFrame, now:
     sources = corporations.where(crawlable()).select(F.col("id").alias("corporation_id"), F.col("name").alias("corporation_name"), "blog_link")
     if not enabled:
         spark = corporations.sparkSession
-        return Run(articles.limit(0), spark.createDataFrame([], CRAWL_RESULT))
-    with_page = sources.join(pages.select(F.col("url").alias("page_url"), "html"), F.col("blog_link") == F.col("page_url"), "left").withColumn("provider", provider_of(F.col("blog_link")))
-    gate = F.when(blank_link(), NO_LINK).when(F.col("html").isNull(), NOT_FETCHED).when(challenge_page(F.col("html"), F.col("page_url")), CHALLENGE)
-    gated = with_page.withColumn("gate", gate)
+        return Run(articles.limit(0), spark.createDataFrame([], CRAWL_RESULT), spark.createDataFrame([], _REJECTS))
+    problem = F.col("error") if "error" in pages.columns else F.lit(None).cast("string")
+    fetched = pages.select(F.col("url").alias("page_url"), "html", problem.alias("fetch_error"))
+    entered = sources.withColumn("page_url", start_page()).join(fetched, "page_url", "inner" if fetched_only else "left").withColumn("provider", provider_of(F.col("blog_link")))
+    missing = F.when(F.col("html").isNull(), F.coalesce("fetch_error", F.lit(NOT_FETCHED)))
+    gate = F.when(blank_link(), NO_LINK).when(missing.isNotNull(), missing).when(challenge_page(F.col("html"), F.col("page_url")), CHALLENGE)
+    entered = entered.withColumn("gate", gate)
+    indexes = (F.col("provider") == "Medium") & F.col("gate").isNull()
+    buckets = bucket_pages(entered.where(indexes).drop("gate", "page_url"), fetched).withColumn("gate", gate)
+    gated = stored(entered.where(~indexes).select(*_GATED).unionByName(buckets.select(*_GATED)))
     raw = stored(raw_records(gated.where("gate is null")))
     found = stored(settled(raw, now))
-    wrong = raw.where("error is not null").select("corporation_id", "error").unionByName(found.where(too_long({"title": LIMITS["article.title"], "link": LIMITS["article.link"]})).select("corporation_id", F.lit(TOO_LONG).alias("error")))
+    shut = gated.where("provider = 'Medium' and gate is not null").select("corporation_id", F.col("gate").alias("error"))
+    wrong = raw.where("error is not null").select("corporation_id", "error").unionByName(shut).unionByName(found.where(too_long({"title": LIMITS["article.title"], "link": LIMITS["article.link"]})).select("corporation_id", F.lit(TOO_LONG).alias("error")))
     failed = wrong.groupBy("corporation_id").agg(F.min("error").alias("error"))
     good = found.join(failed, "corporation_id", "left_anti")
     new = stored(unknown_links(first_by_link(good), articles))
     counts = new.groupBy("corporation_id").agg(F.count("*").alias("new_articles"))
     held = good.groupBy("corporation_id").agg(F.count("*").alias("extracted_articles"))
-    rows = gated.groupBy("corporation_id", "corporation_name").agg(F.min("gate").alias("gate"), F.count_if(F.col("gate").isNull()).alias("readable"))
+    rows = entered.groupBy("corporation_id", "corporation_name").agg(F.min("gate").alias("gate"), F.count_if(F.col("gate").isNull()).alias("readable"))
     report = rows.join(failed, "corporation_id", "left").join(counts, "corporation_id", "left").join(held, "corporation_id", "left")
     message = F.coalesce("error", F.when(F.col("readable") == 0, F.col("gate")))
     number = lambda c: F.coalesce(F.when(message.isNull(), F.col(c)), F.lit(0)).cast("int")
@@ -85,7 +107,7 @@ def ingest(corporations: DataFrame, pages: DataFrame, articles: DataFrame, now:
         "corporation_id", "corporation_name", message.isNull().alias("success"), message.alias("error_message"), now.alias("crawled_at"),
         number("new_articles").alias("total_articles"), number("new_articles").alias("new_articles"), number("extracted_articles").alias("extracted_articles"),
     )
-    return Run(with_ids(new, articles, now), report)
+    return Run(with_ids(new, articles, now), report, raw.where("reject is not null").select("corporation_id", "page_url", "ordinal", "reject"))
 
 
 def ingest_one(company: int, corporations: DataFrame, pages: DataFrame, articles: DataFrame, now: Column) -> Run:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressfold.functions import text as X
 from pressfold.operators import corporations as C
-from pressfold.operators import feeds, ingest, listing, stats
+from pressfold.operators import extract, feeds, ingest, listing, stats
 from pressfold.operators import predicates as P
 from pressfold.sources.tables import table
 
@@ -174,10 +175,10 @@ def article_by_id(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "article").where(F.col("id") == 100).limit(1).select("id", "title", F.col("deleted_at").isNotNull().alias("deleted"))
 
 
-@query("SELECT DISTINCT a.id, a.link FROM article a JOIN (SELECT link FROM crawled_article WHERE batch_no = 1) c ON a.link = c.link WHERE a.deleted_at IS NULL")
+@query("SELECT DISTINCT a.id, a.link FROM article a JOIN crawled_article c ON a.link = c.link WHERE a.deleted_at IS NULL")
 def link_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    """Active articles with the links of a batch."""
-    wanted = table(spark, folder, "crawled_article").where("batch_no = 1").select("link")
+    """Active articles with the links of incoming records, of all batches."""
+    wanted = table(spark, folder, "crawled_article").select("link")
     return table(spark, folder, "article").where(P.active()).join(wanted, "link", "left_semi").select("id", "link")
 
 
@@ -296,10 +297,13 @@ def feed_url_candidates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id FROM documents WHERE lower(text) LIKE '%are you a robot%' OR lower(text) LIKE '%human verification%' OR lower(text) LIKE '%verify you are human%'
+SELECT doc_id FROM (SELECT doc_id, source, text || CASE doc_id % 9 WHEN 0 THEN ' Are you a ROBOT?' WHEN 1 THEN ' robots are here' WHEN 2 THEN '<p>Captcha</p>' ELSE '' END AS text FROM documents) WHERE lower(text) LIKE '%are you a robot%' OR lower(text) LIKE '%human verification%' OR lower(text) LIKE '%verify you are human%'
   OR lower(text) LIKE '%captcha%' OR lower(source) LIKE '%robot%' OR lower(source) LIKE '%verify%'""")
 def challenge_pages(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").where(X.challenge_page(F.col("text"), F.col("source"))).select("doc_id")
+    """Documents with the demand added to some, as pages."""
+    kind = F.col("doc_id") % 9
+    added = F.when(kind == 0, " Are you a ROBOT?").when(kind == 1, " robots are here").when(kind == 2, "<p>Captcha</p>").otherwise("")
+    return table(spark, folder, "documents").withColumn("text", F.concat("text", added)).where(X.challenge_page(F.col("text"), F.col("source"))).select("doc_id")
 
 
 @query("SELECT doc_id, coalesce(ltrim(text, chr(32) || chr(9) || chr(10) || chr(13)) LIKE '<?xml%' OR text LIKE '%<rss%' OR text LIKE '%<feed%', false) AS feed FROM documents")
@@ -330,9 +334,7 @@ def soft_delete_reuse_name(spark: SparkSession, folder: str) -> DataFrame:
 SELECT corporation_id, industry_id FROM corporation_industry WHERE corporation_id <> 7
 UNION ALL SELECT 7 AS corporation_id, id AS industry_id FROM industry WHERE id IN (1, 4, 999)""")
 def bridge_replace(spark: SparkSession, folder: str) -> DataFrame:
-    from datetime import datetime
-
-    new = C._linked(table(spark, folder, "corporation_industry"), table(spark, folder, "industry"), 7, [1, 4, 999], datetime.fromisoformat(NOW))
+    new = C.linked(table(spark, folder, "corporation_industry"), table(spark, folder, "industry"), 7, [1, 4, 999], datetime.fromisoformat(NOW))
     return new.select("corporation_id", "industry_id")
 
 
@@ -354,27 +356,151 @@ def table_counts(spark: SparkSession, folder: str) -> DataFrame:
 def article_json(spark: SparkSession, folder: str) -> DataFrame:
     rows = listing.listed(table(spark, folder, "article"), table(spark, folder, "corporation"))
     body = F.struct("id", "title", F.struct(F.col("corporation_id").alias("id"), F.col("corporation_name").alias("name")).alias("company"))
-    return rows.select(F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
+    return listing.page_json(rows.select(body.alias("row")).select("row.*"))
+
+
+def _escaped(text: F.Column) -> F.Column:
+    """A text as it is written in markup; nothing for null."""
+    out = F.coalesce(text, F.lit(""))
+    for plain, written in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("'", "&#39;")):
+        out = F.replace(out, F.lit(plain), F.lit(written))
+    return out
 
 
 def _shown(title: F.Column, link: F.Column, summary: F.Column) -> F.Column:
-    return F.concat(F.lit("<div class='post'><h2><a href='"), link, F.lit("'>"), title, F.lit("</a></h2><p class='excerpt'>"), F.coalesce(summary, F.lit("")), F.lit("</p></div>"))
+    return F.concat(F.lit("<div class='post'><h2><a href='"), _escaped(link), F.lit("'>"), _escaped(title), F.lit("</a></h2><p class='excerpt'>"), _escaped(summary), F.lit("</p></div>"))
 
 
-@query()
+#: A text as it is read from markup: nothing invisible, white space collapsed, none at the ends.
+_READ = r"trim(regexp_replace(regexp_replace(coalesce({}, ''), '[\x{{200b}}\x{{ad}}]', '', 'g'), '[ \t\n\f\r\x{{a0}}]+', ' ', 'g'), ' ')"
+_CUT = "CASE WHEN length({0}) > 200 THEN left({0}, 200) || '...' ELSE {0} END"
+
+
+@query(f"""
+SELECT corporation_id, link, title, {_CUT.format("summary")} AS summary, TIMESTAMP '{NOW}' AS published_at
+FROM (SELECT corporation_id, link, {_READ.format("title")} AS title, {_READ.format("summary")} AS summary FROM article WHERE deleted_at IS NULL)
+WHERE length(title) >= 5 AND link LIKE 'http%'""")
 def page_extract(spark: SparkSession, folder: str) -> DataFrame:
     """All active articles written as pages of their company and read back by the default provider."""
-    from pressfold.operators.extract import raw_records, settled
-
     rows = table(spark, folder, "article").where(P.active()).select("corporation_id", "link", _shown(F.col("title"), F.col("link"), F.col("summary")).alias("html"))
-    pages = rows.select("corporation_id", F.col("link").alias("blog_link"), F.col("link").alias("page_url"), F.lit("Default").alias("provider"), "html")
-    return settled(raw_records(pages), _now())
+    pages = rows.select("corporation_id", F.lit("https://blog.example").alias("blog_link"), F.col("link").alias("page_url"), F.lit("Default").alias("provider"), "html")
+    return extract.settled(extract.raw_records(pages), _now()).select("corporation_id", "link", "title", "summary", "published_at")
 
 
-@query()
+@query(rf"""
+SELECT corporation_id, link, title, {_CUT.format("summary")} AS summary, date_trunc('second', published_at) + INTERVAL 9 HOUR AS published_at
+FROM (SELECT corporation_id, link, regexp_replace(coalesce(title, ''), '^[\x01-\x20]+|[\x01-\x20]+$', '', 'g') AS title, {_READ.format("summary")} AS summary, coalesce(published_at, TIMESTAMP '2025-01-01') AS published_at FROM article WHERE deleted_at IS NULL)
+WHERE length(title) >= 5 AND trim(link) <> ''""")
 def feed_parse(spark: SparkSession, folder: str) -> DataFrame:
-    """All active articles written as feeds, one for each, and read back."""
-    escape = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    item = F.concat(F.lit("<rss><channel><item><title>"), escape(F.col("title")), F.lit("</title><link>"), escape(F.col("link")), F.lit("</link><description>"), escape(F.col("summary")), F.lit("</description></item></channel></rss>"))
-    rows = table(spark, folder, "article").where(P.active()).select("corporation_id", F.col("link").alias("feed_url"), item.alias("body"))
-    return feeds.feed_records(rows, _now())
+    """All active articles written as feeds, one for each, with times in UTC, and read back in Korean time."""
+    time = F.date_format(F.coalesce("published_at", F.lit("2025-01-01").cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    part = lambda tag, c: F.concat(F.lit(f"<{tag}>"), c, F.lit(f"</{tag}>"))
+    item = F.concat(part("title", _escaped(F.col("title"))), part("link", _escaped(F.col("link"))), part("description", _escaped(_escaped(F.col("summary")))), part("pubDate", time))
+    rows = table(spark, folder, "article").where(P.active()).select("corporation_id", F.col("link").alias("feed_url"), part("rss", part("channel", part("item", item))).alias("body"))
+    return feeds.feed_records(rows, _now(), "Asia/Seoul").select("corporation_id", "link", "title", "summary", "published_at")
+
+
+@query("""
+SELECT id AS corporation_id, regexp_replace(blog_link, '/$', '') || CASE id % 3 WHEN 0 THEN '/feed' ELSE '/rss.xml' END AS feed_url
+FROM corporation WHERE id % 3 < 2 AND deleted_at IS NULL AND trim(blog_link) <> ''""")
+def feed_first(spark: SparkSession, folder: str) -> DataFrame:
+    """The first address of each blog whose feed has an entry, where others hold pages, broken feeds or empty ones."""
+    full, empty, broken, page = (F.lit(x) for x in ("<rss><channel><item><title>A title</title><link>https://a</link></item></channel></rss>", "<rss><channel></channel></rss>", "<rss><item>", "<html></html>"))
+    blogs = table(spark, folder, "corporation").where("deleted_at is null and trim(blog_link) <> ''")
+    base, kind = X.without_slash(F.col("blog_link")), F.col("id") % 3
+    stored = F.create_map(F.lit("/feed"), F.when(kind == 0, full).otherwise(empty), F.lit("/rss"), broken, F.lit("/feed.xml"), page, F.lit("/rss.xml"), F.when(kind < 2, full).otherwise(page), F.lit("/atom.xml"), F.when(kind < 2, full).otherwise(empty))
+    bodies = blogs.select(base.alias("base"), F.explode(stored).alias("end", "body")).select(F.concat("base", "end").alias("url"), "body").groupBy("url").agg(F.max("body").alias("body"))
+    return feeds.first_feed(feeds.candidates(blogs), bodies).select("corporation_id", "feed_url")
+
+
+#: Ids of a source's articles, and of a page of its archive, in the archives that are written for the queries below.
+_SOURCE, _BUCKET = 5000, 50
+_ARCHIVED = f"""
+WITH rows AS (
+  SELECT id, corporation_id * 100000 + id // {_SOURCE} AS source, 'https://medium.com/s' || (corporation_id * 100000 + id // {_SOURCE}) || '/b' || (id // {_BUCKET}) AS page_url, link, {_READ.format("title")} AS title
+  FROM article WHERE corporation_id IS NOT NULL
+), items AS (SELECT * FROM rows WHERE title <> '' AND link LIKE 'http%'
+), failed AS (SELECT DISTINCT source FROM items WHERE length(title) > 200 OR length(link) > 500
+), good AS (SELECT * FROM items WHERE source NOT IN (SELECT source FROM failed)
+), new AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY link ORDER BY source, page_url, id) AS k FROM good)
+  WHERE k = 1 AND link NOT IN (SELECT link FROM article WHERE deleted_at IS NULL AND id % 2 = 0 AND link IS NOT NULL)
+)
+"""
+
+
+def _archives(spark: SparkSession, folder: str) -> ingest.Run:
+    """A run over all articles, written as archives; those with even ids are known."""
+    articles = table(spark, folder, "article")
+    source = F.col("corporation_id") * 100000 + F.floor(F.col("id") / _SOURCE)
+    blog = F.concat(F.lit("https://medium.com/s"), F.col("source"))
+    item = F.concat(F.lit("<div class='postArticle' data-post-id='1'><a href='#'>1</a><a href='#'>2</a><a href='#'>3</a><a href='"), _escaped(F.col("link")), F.lit("'>4</a><h3>"), _escaped(F.col("title")), F.lit("</h3></div>"))
+    rows = articles.where("corporation_id is not null").select("id", source.cast("bigint").alias("source"), F.floor(F.col("id") / _BUCKET).alias("bucket"), item.alias("item"))
+    html = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "item"))), lambda x: x["item"]), "")  # at most _BUCKET ids
+    buckets = rows.groupBy("source", "bucket").agg(html.alias("html")).withColumn("url", F.concat(blog, F.lit("/b"), F.col("bucket")))
+    link = F.concat(F.lit("<div class='timebucket'><a href='"), F.col("url"), F.lit("'>x</a></div>"))
+    indexes = buckets.groupBy("source").agg(F.array_join(F.collect_list(link), "").alias("html")).select(F.concat(blog, F.lit(ingest.ARCHIVE)).alias("url"), "html")  # at most _SOURCE / _BUCKET links
+    none = F.lit(None)
+    sources = rows.select("source").distinct().select(F.col("source").alias("id"), F.concat(F.lit("s"), F.col("source")).alias("name"), blog.alias("blog_link"), none.cast("timestamp_ntz").alias("deleted_at"))
+    return ingest.ingest(sources, buckets.select("url", "html").unionByName(indexes), articles.where("id % 2 = 0"), _now())
+
+
+@query(_ARCHIVED + "SELECT source AS corporation_id, title, link FROM new")
+def archive_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    return _archives(spark, folder).articles.select("corporation_id", "title", "link")
+
+
+@query(
+    _ARCHIVED
+    + """SELECT s.source AS corporation_id, f.source IS NULL AS success, CASE WHEN f.source IS NOT NULL THEN 'title or link too long' END AS error_message,
+  coalesce(n.n, 0)::INTEGER AS new_articles, coalesce(g.n, 0)::INTEGER AS extracted_articles
+FROM (SELECT DISTINCT source FROM rows) s LEFT JOIN failed f ON s.source = f.source LEFT JOIN (SELECT source, count(*) AS n FROM new GROUP BY 1) n ON s.source = n.source
+LEFT JOIN (SELECT source, count(*) AS n FROM good GROUP BY 1) g ON s.source = g.source"""
+)
+def archive_report(spark: SparkSession, folder: str) -> DataFrame:
+    return _archives(spark, folder).report.select("corporation_id", "success", "error_message", "new_articles", "extracted_articles")
+
+
+def _companies(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return tuple(table(spark, folder, n) for n in ("corporation", "corporation_industry", "industry"))
+
+
+_STATE = "count(*) FILTER (deleted_at IS NULL) AS active, count(*) FILTER (deleted_at IS NOT NULL) AS deleted, max(name) FILTER (id = {0}) AS name, max(blog_link) FILTER (id = {0}) AS blog_link, strftime(max(updated_at) FILTER (id = {0}), '%Y-%m-%d %H:%M') AS updated"
+
+
+def _state(rows: DataFrame, company: int) -> DataFrame:
+    mine = F.col("id") == company
+    own = lambda c: F.max(F.when(mine, F.col(c))).alias(c)
+    return rows.agg(F.count_if(P.active()).alias("active"), F.count_if(~P.active()).alias("deleted"), own("name"), own("blog_link"), X.minute_text(F.max(F.when(mine, F.col("updated_at")))).alias("updated"))
+
+
+@query(f"""
+WITH added AS (SELECT * EXCLUDE (home_link, crew_link, logo_url) FROM corporation UNION ALL BY NAME
+  SELECT (SELECT max(id) + 1 FROM corporation) AS id, 'A new company' AS name, 'https://new.example' AS blog_link, TIMESTAMP '{NOW}' AS created_at, TIMESTAMP '{NOW}' AS updated_at, NULL::TIMESTAMP AS deleted_at)
+SELECT {_STATE.format("(SELECT max(id) FROM added)")}, 2::BIGINT AS industries FROM added""")
+def corp_created(spark: SparkSession, folder: str) -> DataFrame:
+    companies, links, industries = _companies(spark, folder)
+    new, rows, bridge = C.create(companies, links, industries, C.CompanyForm("A new company", blog_link="https://new.example", industry_ids=[2, 5, 999]), datetime.fromisoformat(NOW))
+    return _state(rows, new).withColumn("industries", F.lit(bridge.where(F.col("corporation_id") == new).count()).cast("bigint"))
+
+
+@query(f"""
+WITH changed AS (SELECT id, deleted_at, CASE WHEN id = 7 THEN 'Renamed' ELSE name END AS name, CASE WHEN id = 7 THEN NULL ELSE blog_link END AS blog_link, CASE WHEN id = 7 THEN TIMESTAMP '{NOW}' ELSE updated_at END AS updated_at FROM corporation)
+SELECT {_STATE.format(7)}, 1::BIGINT AS industries FROM changed""")
+def corp_updated(spark: SparkSession, folder: str) -> DataFrame:
+    companies, links, industries = _companies(spark, folder)
+    rows, bridge = C.update(companies, links, industries, 7, C.CompanyForm("Renamed", industry_ids=[3]), datetime.fromisoformat(NOW))
+    return _state(rows, 7).withColumn("industries", F.lit(bridge.where("corporation_id = 7").count()).cast("bigint"))
+
+
+@query(f"""
+WITH changed AS (SELECT id, name, blog_link, CASE WHEN id = 7 THEN TIMESTAMP '{NOW}' ELSE deleted_at END AS deleted_at, CASE WHEN id = 7 THEN TIMESTAMP '{NOW}' ELSE updated_at END AS updated_at FROM corporation)
+SELECT {_STATE.format(7)} FROM changed""")
+def corp_deleted(spark: SparkSession, folder: str) -> DataFrame:
+    return _state(C.soft_delete(_companies(spark, folder)[0], 7, datetime.fromisoformat(NOW)), 7)
+
+
+@query("""
+SELECT id, strftime(published_at, '%Y. %m. %d. ') || CASE WHEN hour(published_at) < 12 THEN '오전' ELSE '오후' END || strftime(published_at, ' %I:%M') AS tooltip FROM article WHERE published_at IS NOT NULL""")
+def date_tooltip(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "article").where("published_at is not null").select("id", X.tooltip(F.col("published_at")).alias("tooltip"))

@@ -15,8 +15,7 @@ ARTICLE = (
 TAG = f"id BIGINT, keyword STRING, request_count INT, {_AUDIT}"
 ARTICLE_TAG = f"id BIGINT, article_id BIGINT, tag_id BIGINT, {_AUDIT}"
 CRAWL_RESULT = "corporation_id BIGINT, corporation_name STRING, success BOOLEAN, error_message STRING, crawled_at TIMESTAMP_NTZ, total_articles INT, new_articles INT"
-PAGE = "url STRING, html STRING"
-EXTRACTED = "ordinal INT, title STRING, link STRING, summary STRING, thumbnail_image STRING, date_text STRING, date_kind STRING"
+PAGE = "url STRING, html STRING, error STRING, fetched_at TIMESTAMP_NTZ"
 
 # Limits of the columns.
 LIMITS = {"corporation.name": 100, "industry.name": 50, "tag.keyword": 100, "article.title": 200, "article.link": 500}

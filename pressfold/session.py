@@ -11,10 +11,6 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Largest planned size of a side that is broadcast on request.
-BROADCAST_BYTES = 32 << 20
 
 
 def local_session(cores: int = 8, partitions: int = 8, **conf: str) -> SparkSession:
@@ -107,13 +103,3 @@ def _remove(spark: SparkSession, path: str) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
     except Exception:  # the session has ended; nothing can be removed through it
         pass
-
-
-def planned_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of ``df``; files count as they are on disk."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only if the estimate stays under ``limit``; else Catalyst decides."""
-    return F.broadcast(df) if planned_bytes(df) <= limit else df

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
+
+from pressfold.operators.extract import bucket_links
 
 
 def page_files(spark: SparkSession, path: str) -> DataFrame:
@@ -12,11 +15,7 @@ def page_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def bucket_pages(index_pages: DataFrame, pages: DataFrame) -> DataFrame:
-    """Second level of an archive: (corporation_id, blog_link, page_url, html) of the pages that index pages link to."""
-    from pyspark.sql.types import ArrayType, StringType
-
-    from pressfold.operators.extract import bucket_links
-
+    """Second level of an archive: the index rows' columns with page_url and html of the pages they link to; html is null if a page is missing."""
     links = F.pandas_udf(lambda html: html.map(lambda h: bucket_links(h or "")), ArrayType(StringType()))
-    wanted = index_pages.select("corporation_id", "blog_link", F.explode(links("html")).alias("page_url"))
-    return wanted.join(pages.select(F.col("url").alias("page_url"), "html"), "page_url")
+    wanted = index_pages.withColumn("page_url", F.explode(links("html"))).drop("html", "fetch_error")
+    return wanted.join(pages, "page_url", "left")
