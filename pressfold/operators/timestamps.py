@@ -2,7 +2,7 @@
 
 Each text is reduced to a mask of character classes of the same length: a
 digit is 9, a letter of a known word the class of that word (M month, D
-weekday, P half of the day, Z abbreviation of a zone, R name of a zone, U unit,
+weekday, V unit by the calendar, N word for a time near the crawl, P half of the day, Z abbreviation of a zone, R name of a zone, U unit,
 G "ago"), other letters w. A mask is mapped to its parser once in a worker:
 the places of year, month, day, hour and so on, which are the same for all
 texts of the mask. All texts of a mask are then cut and converted as one array.
@@ -46,6 +46,9 @@ UNIT_SECONDS = {
     "day": 86400, "days": 86400, "일": 86400,
     "week": 604800, "weeks": 604800, "주": 604800,
 }
+# Units by the calendar, in months, and words for times near the crawl, in seconds before it.
+UNIT_MONTHS = {"month": 1, "months": 1, "개월": 1, "달": 1, "year": 12, "years": 12, "년": 12}
+NEAR = {"yesterday": 86400, "어제": 86400, "그저께": 172800, "방금": 0}
 AGO = {"ago", "전"}
 
 _TOKEN = re.compile(r"\d+|[A-Za-z]+(?:/[A-Za-z]+(?:[_-][A-Za-z]+)*)+|[A-Za-z]+|[가-힣]+|[^\W\d_]+")
@@ -62,6 +65,8 @@ def _word_class(word: str) -> str:
             return letter
     if word in ("년", "월"):
         return word
+    if low in UNIT_MONTHS or low in NEAR:
+        return "V" if low in UNIT_MONTHS else "N"
     return "U" if low in UNIT_SECONDS else "w"
 
 
@@ -82,7 +87,7 @@ def mask(text: str) -> str:
 
 _CLOCK = r"(?:(?P<p1>P+) ?)?(?P<h>99?):(?P<mi>99)(?::(?P<s>99)(?:[.,](?P<f>9+))?)?(?: ?(?P<p2>P+))?"
 _COMPACT_CLOCK = r"(?P<h>99)(?P<mi>99)(?P<s>99)?(?:[.,](?P<f>9+))?"
-_ZONE = r"(?: ?(?P<o>(?P<os>[+-])(?P<oh>99):?(?P<om>99))(?:\[R+\])?| ?(?P<zulu>z)| ?\(?(?P<abbr>Z+)\)?| ?\[?(?P<region>R+)\]?)?"
+_ZONE = r"(?: ?(?:Z+ ?)?(?P<o>(?P<os>[+-])(?P<oh>99)(?::?(?P<om>99)(?!9))?(?![9:]))(?:\[R+\])?| ?(?P<zulu>z)| ?\(?(?P<abbr>Z+)\)?| ?\[?(?P<region>R+)\]?)?"
 _LAYOUTS = tuple(
     re.compile(rf"(?<![9w]){date}(?:(?:[t ]|, | t ){clock}(?!9){_ZONE})?(?![9:])")
     for date, clock in (
@@ -97,6 +102,8 @@ _LAYOUTS = tuple(
     )
 )
 _RELATIVE = re.compile(r"(?<!9)(?P<n>9{1,6}) ?(?P<u>U+) ?G+")
+_MONTHS_AGO = re.compile(r"(?<!9)(?P<n>9{1,4}) ?(?P<u>V+|년) ?G+")
+_NEAR = re.compile(r"^(?:w+ )?(?P<u>N+)(?: G+)?$")
 _EPOCH = re.compile(r"(?<![9.:/-])(?P<e>9{10}|9{13}|9{16}|9{19})(?![9.:/-])")
 
 
@@ -106,6 +113,12 @@ def parser_of(shape: str) -> tuple[str, dict[str, tuple[int, int]]] | None:
     found = _RELATIVE.search(shape)
     if found:
         return "ago", {k: found.span(k) for k in ("n", "u")}
+    found = _MONTHS_AGO.search(shape)
+    if found:
+        return "months", {k: found.span(k) for k in ("n", "u")}
+    found = _NEAR.search(shape)
+    if found:
+        return "near", {"u": found.span("u")}
     for layout in _LAYOUTS:
         found = layout.search(shape)
         if found:
@@ -206,8 +219,11 @@ def to_utc_millis(texts: list[str | None], crawled: np.ndarray, zones: np.ndarra
             value, digits = _number(codes, at["e"]), at["e"][1] - at["e"][0]
             value = value * 1000 if digits == 10 else value // 10 ** (digits - 13)
             ok = value > 0
-        elif kind == "ago":
-            seconds = _number(codes, at["n"]) * _words(own, at["u"], UNIT_SECONDS)
+        elif kind == "months":
+            ok = ~np.isnat(crawled[index])
+            value = _months_before(np.where(ok, crawled[index].astype(np.int64), 0), _number(codes, at["n"]) * _words(own, at["u"], UNIT_MONTHS))
+        elif kind in ("ago", "near"):
+            seconds = _number(codes, at["n"]) * _words(own, at["u"], UNIT_SECONDS) if kind == "ago" else _words(own, at["u"], NEAR)
             ok = ~np.isnat(crawled[index])
             value = np.where(ok, crawled[index].astype(np.int64), 0) - seconds * 1000
         else:
@@ -216,6 +232,16 @@ def to_utc_millis(texts: list[str | None], crawled: np.ndarray, zones: np.ndarra
     return out, good
 
 
+def _months_before(millis: np.ndarray, months: np.ndarray) -> np.ndarray:
+    """The same time of day so many months before, at the last day of a month that is too short."""
+    days, rest = np.divmod(millis, 86_400_000)
+    month = days.astype("datetime64[D]").astype("datetime64[M]").astype(np.int64)
+    day = days - month.astype("datetime64[M]").astype("datetime64[D]").astype(np.int64)
+    first = (month - months).astype("datetime64[M]").astype("datetime64[D]").astype(np.int64)
+    length = (month - months + 1).astype("datetime64[M]").astype("datetime64[D]").astype(np.int64) - first
+    return (first + np.minimum(day, length - 1)) * 86_400_000 + rest
+
+
 def iso_millis(value: np.ndarray) -> np.ndarray:
     """``yyyy-MM-ddTHH:mm:ss.SSSZ`` of instants in milliseconds."""
     return np.char.add(np.datetime_as_string(value.astype("datetime64[ms]"), unit="ms"), "Z")

@@ -102,3 +102,11 @@ def test_table(spark):
     found = sorted(tuple(r) for r in normalise_times(spark.createDataFrame(rows, schema), zones).collect())
     assert found == [(1, "2023-12-31T15:00:00.000Z"), (1, "2023-12-31T15:00:00.000Z"), (4, "2024-01-01T00:00:00.000Z")]
     assert normalise_times(spark.createDataFrame([], schema), zones).count() == 0
+
+
+def test_units_of_the_calendar_and_short_offsets():
+    for text, expected in (("1 month ago", "2024-02-29T10:00:00.000Z"), ("2개월 전", "2024-01-31T10:00:00.000Z"), ("3달 전", "2023-12-31T10:00:00.000Z"), ("1년 전", "2023-03-31T10:00:00.000Z"), ("2 years ago", "2022-03-31T10:00:00.000Z"), ("어제", "2024-03-30T10:00:00.000Z"), ("yesterday", "2024-03-30T10:00:00.000Z"), ("방금 전", "2024-03-31T10:00:00.000Z")):
+        assert read(text, "UTC", crawled="2024-03-31T10:00:00") == expected
+    assert read("2024-01-02T10:00:00+09", "UTC") == "2024-01-02T01:00:00.000Z"
+    assert read("2024-01-02 10:00:00 GMT+0900", "UTC") == "2024-01-02T01:00:00.000Z"
+    assert read("2024-01-02 10:00:00 GMT", "Asia/Seoul") == "2024-01-02T10:00:00.000Z"
