@@ -49,8 +49,16 @@ PASSES, CONVERGED, UPDATES = 8, 0.02, 12
 #: Share of a tag's articles that must be about a subject for the tag to speak for it.
 TAG_SHARE, TAGS_NEEDED = 0.55, 2
 
-# Words that announce a comparison.
-_COMPARISON = re.compile(r"\bfelt (?:a (?:bit|little|lot) )?like\b|\bthink of (?:it|this|them) as\b|\bas if\b|\breminded (?:me|us) of\b|\bnot unlike\b|흡사|준비하듯|마치 |비유하자면|하듯이? 차근차근", re.IGNORECASE)
+# Constructions of comparison, English and Korean.
+_COMPARISON = re.compile(
+    r"\b(?:feels?|felt|looks?|looked|sounds?|sounded|seems?|seemed|behaves?|behaved|is|was|are|were|be|being|much|rather|just|almost|bit|little|lot) like (?:an?|the|when|how)?\b|\b(?:felt|feels?) (?:an? (?:bit|little|lot) )?like\b"
+    r"|\b(?:think|thought|thinking) of (?:it|this|that|them|these|those) as\b|\bas (?:if|though)\b|\bremind(?:s|ed|ing)? (?:me|us|you|one|everyone) of\b|\b(?:not unlike|akin to|analogous to|reminiscent of|comparable to)\b"
+    r"|\b(?:by|an?|the) (?:analogy|metaphor)\b|\bin the same way (?:as|that)\b"
+    r"|(?:^|\s)(?:마치|흡사|비유하자면|비유하면|비하자면|이를테면)(?:\s|$)|준비하듯|하듯이? |듯이 차근차근|에 빗대|에 비유",
+    re.IGNORECASE,
+)
+#: One of these stands in every comparison.
+_HINTS = ("like", "think of", "thought of", "thinking of", "as if", "as though", "remind", "akin", "analog", "reminisc", "compar", "metaphor", "same way", "마치", "흡사", "비유", "비하자", "이를테면", "듯", "빗대")
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|\n")
 _WORD = re.compile(r"[^\W\d_]+")
 _LEFT, _RIGHT = np.int64(-7046029254386353131), np.int64(-2967338243228374957)
@@ -72,8 +80,11 @@ def _parts(title: str | None, summary: str | None) -> list[str]:
     parts = [title] if title else []
     if summary:
         parts += _SENTENCE.split(summary)
-    text = f"{title}\n{summary}"
-    return [p for p in parts if not _COMPARISON.search(p)] if _COMPARISON.search(text) else parts
+    low = f"{title}\n{summary}".lower()
+    for hint in _HINTS:
+        if hint in low:
+            return [p for p in parts if not _COMPARISON.search(p)]
+    return parts
 
 
 def terms_of(titles: list[str | None], summaries: list[str | None], stems: _Stems) -> tuple[np.ndarray, np.ndarray]:

@@ -233,3 +233,13 @@ def test_sample_and_repeated_documents(spark):
     assert sentences.sample(table.where("doc_id % 3 = 1")) == ["One text. The same for all."]
     found = [tuple(r) for r in sentences.sentences(table, model=sentences.fit([])).collect()]
     assert len(found) == len(set(found)) and [f for f in sorted(found) if f[0] == 7] == [(7, 0, 9), (7, 10, 27)]
+
+
+@pytest.mark.parametrize("text", ["It felt a bit like soup, only slower.", "Think of it as a swim lap.", "They ran as if late.", "That reminds us of stadium seats.", "It is much like a kitchen.", "It was akin to oven heat.", "마치 요리를 하듯이 준비했다.", "비유하자면 경기 같다."])
+def test_comparisons_do_not_count(text):
+    assert subjects._parts(None, f"We tuned queues. {text} We stopped.") == ["We tuned queues.", "We stopped."]
+
+
+def test_no_comparison():
+    for text in ("Users like the new queue.", "호카떼마치 편을 씁니다.", "We liked the result."):
+        assert subjects._parts("A title", text) == ["A title", text]
