@@ -19,8 +19,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -262,7 +263,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One pass over the texts for all that is asked of them.
 
     ENDS: a field that has not certainly ended, the keys that judge it and their
-    hash. KEYS: the bands of a record, its sketch (as e), the number of its shingles (as m), the hash of its words and of the first of
+    hash. KEYS: the bands of a record, its sketch (as e), the hash of its words and of the first of
     them. COUNTS: counts of words, given out whenever a million are held.
     """
     counts, words = Counts(), _Words()
@@ -303,11 +304,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
         if texts:
             digests = [_hash(" ".join(t[:n]), " ".join(t[n:])) for t, n in zip(texts, firsts, strict=True)]
-            own, sketch, sizes = _minima(texts, words, firsts)
+            own, sketch = _minima(texts, words, firsts)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), pa.array(own.ravel()))
             rest = _nothing(len(texts))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(texts), KEYS, dtype=np.int32)), pa.array(owners, pa.int64()), *rest(pa.int64(), 1), *rest(pa.string(), 1), *rest(pa.int32(), 3), bands, pa.array(digests, pa.int64()), pa.array(heads, pa.int64()), pa.array(sketch), pa.array(sizes), *rest(pa.int64(), 2)],
+                [pa.array(np.full(len(texts), KEYS, dtype=np.int32)), pa.array(owners, pa.int64()), *rest(pa.int64(), 1), *rest(pa.string(), 1), *rest(pa.int32(), 3), bands, pa.array(digests, pa.int64()), pa.array(heads, pa.int64()), pa.array(sketch), *rest(pa.int64(), 3)],
                 schema=_SCAN,
             )
         if len(words) > 1 << 20:
@@ -348,8 +349,8 @@ def signatures(texts: list[list[str]], words: _Words, heads: list[int] | None =
     return _minima(texts, words, heads)[0]
 
 
-def _minima(texts: list[list[str]], words: _Words, heads: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``signatures``, a sketch of two bits of each minimum, and the number of shingles."""
+def _minima(texts: list[list[str]], words: _Words, heads: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """``signatures``, and a sketch of two bits of each minimum."""
     counts = np.array([len(t) for t in texts])
     codes = np.fromiter((words[w] for t in texts for w in t), dtype=np.uint64, count=int(counts.sum()))
     rolled = np.zeros(len(codes) - SHINGLE + 1, dtype=np.uint64)
@@ -375,7 +376,7 @@ def _minima(texts: list[list[str]], words: _Words, heads: list[int] | None = Non
         band = bands[:, k // ROWS]
         band = (band ^ least) * np.uint64(0xD6E8FEB86659FD93)
         bands[:, k // ROWS] = band ^ (band >> np.uint64(32))
-    return (bands ^ np.arange(1, BANDS + 1, dtype=np.uint64)).astype(np.int64), sketch.astype(np.int64), sizes
+    return (bands ^ np.arange(1, BANDS + 1, dtype=np.uint64)).astype(np.int64), sketch.astype(np.int64)
 
 
 def without_mark(text: str) -> str:
@@ -477,32 +478,91 @@ def near_words(title: str | None, summary: str | None) -> dict[str, list[str]]:
     return {"t": without_mark(title or "").lower().split(), "s": without_mark(summary or "").lower().split()}
 
 
-def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(place, id, field, words): keys of the end of each field, and how many words it has; without a field, of all places where a similar copy may have been cut.
+def _place_keys(parts: dict[str, list[str]]) -> Iterator[tuple[int, str | None, int]]:
+    """(key, field, words) of the ends of both fields; without a field, of all places where a similar copy may have been cut.
 
     A place is known by the three words before it and the first letter of its
     word; at the last word of a text, by the whole beginning of that word that is left.
     """
+    lost = math.ceil((1 - SIMILARITY) * max(sum(map(len, parts.values())) - SHINGLE + 1, 1)) + 1
+    for field, words in parts.items():
+        size = len(words)
+        if size < 2:
+            continue
+        last, before = words[-1], "\x01".join((field, *words[-4:-1]))
+        yield _hash(before, last[0]), field, size
+        yield _hash("=", before, last), field, size
+        for at in range(max(1, size - 1 - lost), size - 1):
+            yield _hash("\x01".join((field, *words[max(0, at - 3) : at])), words[at][0]), None, at + 1
+        for stop in range(1, len(last)):
+            yield _hash("=", before, last[:stop]), None, size
+
+
+def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(place, id, field, words): the keys of each record's ends and places."""
     for b in batches:
-        keys, ids, fields, places = [], [], [], []
-        for key, title, summary in zip(b["id"], b["title"], b["summary"], strict=True):
+        found = [(place, key, field, words) for key, title, summary in zip(b["id"], b["title"], b["summary"], strict=True) for place, field, words in _place_keys(near_words(title, summary))]
+        yield pd.DataFrame(found, columns=["place", "id", "field", "words"]).astype({"place": "int64", "id": "int64", "words": "int32", "field": object})
+
+
+@dataclass
+class _Text:
+    """A text of a band, and the (id, source) of the records that have it."""
+
+    parts: dict[str, list[str]]
+    bands: frozenset[int]
+    records: list[tuple[int, int]]
+    shingles: set[tuple[str, ...]]
+
+
+def _within(band: int, rows: list[tuple]) -> Iterator[tuple[int, str]]:
+    """(id, field) of the fields that end early beside another text of the band; a pair is looked at in the first band it shares."""
+    texts: dict[int, _Text] = {}
+    for key, source, title, summary, bands, text in rows:
+        if text not in texts:
             parts = near_words(title, summary)
-            lost = math.ceil((1 - SIMILARITY) * max(sum(map(len, parts.values())) - SHINGLE + 1, 1)) + 1
-            for field, words in parts.items():
-                if len(words) < 2:
-                    continue
-                last, before = words[-1], "\x01".join((field, *words[-4:-1]))
-                keys += (_hash(before, last[0]), _hash("=", before, last))
-                fields += (field, field)
-                places += (len(words), len(words))
-                for at in range(max(1, len(words) - 1 - lost), len(words) - 1):
-                    keys.append(_hash("\x01".join((field, *words[max(0, at - 3) : at])), words[at][0]))
-                    places.append(at + 1)
-                keys += [_hash("=", before, last[:stop]) for stop in range(1, len(last))]
-                places += [len(words)] * (len(last) - 1)
-                fields += [None] * (len(keys) - len(fields))
-            ids += [key] * (len(keys) - len(ids))
-        yield pd.DataFrame({"place": np.array(keys, dtype=np.int64), "id": np.array(ids, dtype=np.int64), "field": fields, "words": np.array(places, dtype=np.int32)})
+            texts[text] = _Text(parts, frozenset(bands), [], _shingles(parts))
+        texts[text].records.append((key, source))
+    if len(texts) < 2:
+        return
+    ends, within = [], defaultdict(list)
+    for text, own in texts.items():
+        for place, field, words in _place_keys(own.parts):
+            if field:
+                ends.append((place, field, words, text))
+            else:
+                within[place].append((words, text))
+    done = set()
+    for place, field, words, text in ends:
+        for top_words, top in within.get(place, ()):
+            if text == top or (text, field, top) in done or abs(words - top_words) > (1 - SIMILARITY) * words + 1:
+                continue
+            done.add((text, field, top))
+            one, other = texts[text], texts[top]
+            if min(one.bands & other.bands) != band or len(one.shingles & other.shingles) < SIMILARITY * len(one.shingles | other.shingles):
+                continue
+            if ends_early(one.parts[field], other.parts[field], field == "t"):
+                complete, sources = finished(" ".join(one.parts[field])), {source for _, source in other.records}
+                yield from ((key, field) for key, source in one.records if not complete or source in sources)
+
+
+def _cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, field) over rows sorted by band, none of which has more than ``BLOCK``."""
+    held: list[tuple] = []
+    band = None
+    for b in batches:
+        found: list[tuple[int, str]] = []
+        for own, *row in zip(*(b.column(c).to_pylist() for c in ("band", "id", "source", "title", "summary", "bands", "text")), strict=True):
+            if own != band:
+                found += _within(band, held)
+                band, held = own, []
+            held.append(tuple(row))
+        yield _fields(found)
+    yield _fields(list(_within(band, held)))
+
+
+def _fields(found: list[tuple[int, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([f for _, f in found], pa.string())], names=["id", "field"])
 
 
 def _shingles(parts: dict[str, list[str]]) -> set[tuple[str, ...]]:
@@ -555,33 +615,52 @@ PARTNERS = 64
 DIFFERENT = 13
 
 
+#: Records of a band that are looked at together; a band with more is divided by places.
+BLOCK = 256
+
+
 def near_copies(records: DataFrame, known: DataFrame | None = None, keys: DataFrame | None = None) -> DataFrame:
     """(id, field): fields whose alignment with a near-copy of the record ends early; ``known`` (id, field) need not be found again.
 
-    Only records that share a band with another text take part. The words
-    before the end of a field are looked up among the places of the others, in
-    the same band: most ends have no partner. The partners of a band and place
-    lie in buckets of about ``PARTNERS``; an end is compared with one bucket,
-    then with four times as many, until it is shown to be cut or all are compared, so
-    a group of copies is not compared pair by pair, and no partner is left out.
+    Only records that share a band with another text take part. The records of
+    a band are looked at together, and an end meets only the texts that have its
+    words within: similarity is verified, then the words are aligned.
     """
     own = records.where("title is not null or summary is not null").select("id", "source", "title", "summary")
     keys = scanned(own.withColumn("link", F.lit(None).cast("string"))).where(F.col("kind") == KEYS) if keys is None else keys
     texts = keys.select(F.explode("keys").alias("band"), F.col("key").alias("text"))
-    shared = stored(texts.groupBy("band").agg(F.min("text").alias("least"), F.max("text").alias("most")).where("least < most").select("band"))
-    bands = stored(keys.select(F.explode("keys").alias("band"), "id").join(shared, "band", "left_semi").distinct())
-    sketches = keys.select("id", F.col("key").alias("text"), F.col("e").alias("sketch"), F.col("m").alias("shingles"))
+    shared = texts.groupBy("band").agg(F.min("text").alias("least"), F.max("text").alias("most"), F.count("*").alias("rows")).where("least < most")
+    shared = stored(shared.select("band", "rows"))
+    rows = keys.select(F.explode("keys").alias("band"), "id", F.col("keys").alias("bands"), F.col("key").alias("text")).join(shared.where(F.col("rows") <= BLOCK).select("band"), "band")
+    rows = rows.join(own, "id").select("band", "id", "source", "title", "summary", "bands", "text")
+    found = rows.repartition("band").sortWithinPartitions("band").mapInArrow(_cold, "id bigint, field string")
+    crowded = shared.where(F.col("rows") > BLOCK).select("band")
+    if not crowded.isEmpty():
+        found = found.unionByName(_crowded(own, keys, crowded))
+    found = found.distinct()
+    return found if known is None else found.join(known, ["id", "field"], "left_anti")
+
+
+def _crowded(own: DataFrame, keys: DataFrame, crowded: DataFrame) -> DataFrame:
+    """The same for bands with more than ``BLOCK`` records.
+
+    The words before the end of a field are looked up among the places of the
+    others in the same band. The partners of a band and place lie in buckets of
+    about ``PARTNERS``; an end is compared with one bucket, then with four times
+    as many, until it is shown to be cut or all are compared, so a group of
+    copies is not compared pair by pair, and no partner is left out.
+    """
+    bands = stored(keys.select(F.explode("keys").alias("band"), "id").join(crowded, "band", "left_semi").distinct())
+    sketches = keys.select("id", F.col("key").alias("text"), F.col("e").alias("sketch"))
     members = stored(own.join(bands.select("id").distinct(), "id", "left_semi"))
     found = stored(members.select("id", "title", "summary").mapInPandas(_places, "place bigint, id bigint, field string, words int"))
     ends = found.where("field is not null")
-    if known is not None:
-        ends = ends.join(known, ["id", "field"], "left_anti")
     within = found.where("field is null").select("place", F.col("id").alias("top"), F.col("words").alias("top_words"))
     asked = stored(ends.join(within.select("place"), "place", "left_semi").distinct())
     tops = stored(within.join(asked.select("place").distinct(), "place", "left_semi").distinct())
     sketches = stored(sketches.join(asked.select("id").union(tops.select("top")).distinct(), "id", "left_semi").dropDuplicates(["id"]))
     asked = stored(asked.join(bands, "id").join(sketches, "id"))
-    tops = tops.join(bands.withColumnRenamed("id", "top"), "top").join(sketches.select(*(F.col(c).alias(f"top_{c}" if c != "id" else "top") for c in ("id", "text", "sketch", "shingles"))), "top")
+    tops = tops.join(bands.withColumnRenamed("id", "top"), "top").join(sketches.select(*(F.col(c).alias(f"top_{c}" if c != "id" else "top") for c in ("id", "text", "sketch"))), "top")
     tops = stored(tops.join(asked.select("place", "band").distinct(), ["place", "band"], "left_semi"))
     sizes = tops.groupBy("place", "band").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("buckets"))
     tops = tops.join(sizes, ["place", "band"]).withColumn("bucket", F.pmod(F.xxhash64("top"), F.col("buckets")).cast("int")).drop("buckets")
@@ -591,12 +670,11 @@ def near_copies(records: DataFrame, known: DataFrame | None = None, keys: DataFr
     differ = F.col("sketch").bitwiseXOR(F.col("top_sketch"))
     differ = F.bit_count((differ.bitwiseOR(F.shiftrightunsigned(differ, 1))).bitwiseAND(F.lit(0x5555555555555555)))
     near = F.abs(F.col("words") - F.col("top_words")) <= (1 - SIMILARITY) * F.col("words") + 1
-    sized = F.least("shingles", "top_shingles") >= SIMILARITY * F.greatest("shingles", "top_shingles")
     most, begin, step, cases = waiting.agg(F.max("buckets")).first()[0] or 0, 0, 1, None
     while begin < most:
         turns = F.explode(F.sequence(F.lit(begin), F.least(F.lit(begin + step), F.col("buckets")) - 1)).alias("turn")
         looks = waiting.where(F.col("buckets") > begin).select("*", turns).withColumn("bucket", F.pmod(F.xxhash64("id") + F.col("turn"), F.col("buckets")).cast("int"))
-        pairs = looks.join(tops, ["place", "band", "bucket"]).where((F.col("text") != F.col("top_text")) & sized & near & (differ <= DIFFERENT)).select("id", "field", "top").distinct()
+        pairs = looks.join(tops, ["place", "band", "bucket"]).where((F.col("text") != F.col("top_text")) & near & (differ <= DIFFERENT)).select("id", "field", "top").distinct()
         both = pairs.join(members, "id").join(texts, "top").withColumn("own_source", F.col("source") == F.col("top_source"))
         early = stored(both.select("id", "field", "title", "summary", "top_title", "top_summary", "own_source").mapInPandas(_aligned, "id bigint, field string").distinct())
         cases = early if cases is None else cases.unionByName(early)
@@ -651,7 +729,7 @@ def truncated(records: DataFrame, left_out: DataFrame | None = None) -> DataFram
     sums = unmarked.groupBy("source", "field", "size").agg(F.sum(F.col("cut").cast("int")).alias("cuts"), F.count("*").alias("all"))
     limits = sums.where((F.col("cuts") >= LIMIT_ROWS) & (F.col("cuts") >= 0.6 * F.col("all"))).select("source", "field", "size").withColumn("limit", F.lit(True))
     by_end = judged.join(limits, ["source", "field", "size"], "left").where("cut or (limit and (not title or rate < 0.05))").select("id", "source", "field")
-    keys = scan.where(F.col("kind") == KEYS).select("id", "keys", "key", "head", "e", "m")
+    keys = scan.where(F.col("kind") == KEYS).select("id", "keys", "key", "head", "e")
     copies = cut_copies(own, keys).select("id", F.lit("s").alias("field")).unionByName(near_copies(own, keys=keys))
     copies = own.select("id", "source").join(copies, "id").select("id", "source", "field")
     cases = by_end.unionByName(copies).distinct()

@@ -159,3 +159,16 @@ def test_wording_that_many_hosts_share(spark):
     many = [(10 + i, 1, "Fine", line + " 7", f"https://k{i}.com/x", None) for i in range(R.HOSTS)]
     assert R.residue(spark.createDataFrame(few, ROWS)).count() == 0
     assert R.residue(spark.createDataFrame(few + many, ROWS)).count() == len(few + many)
+
+
+def test_crowded_bands_give_the_same(spark, monkeypatch):
+    more = WHOLE + " and summer while the old cluster was kept for tests that need special disks and for nothing else."
+    title = "How teams moved nightly jobs to the cluster"
+    rows = [(1, 1, title, more), (2, 1, "[New] " + title, more.replace("Seven", "Eight")[:-6]), (3, 1, None, more[:-9]), (4, 2, title[:-4], more), (5, 1, title + " - Acme Labs", more), (6, 2, title, more[:-9]), (7, None, title, None), (8, 1, None, None)]
+    rows += [(100 + i, i % 3, title, more.replace("spring", f"spring{i}")) for i in range(40)]
+    table = spark.createDataFrame(rows, "id bigint, source bigint, title string, summary string")
+    found = {(r.id, r.field) for r in T.near_copies(table).collect()}
+    assert found == {(2, "s"), (3, "s"), (4, "t"), (6, "s")}
+    monkeypatch.setattr(T, "BLOCK", 1)
+    monkeypatch.setattr(T, "PARTNERS", 2)
+    assert {(r.id, r.field) for r in T.near_copies(table).collect()} == found
