@@ -510,18 +510,18 @@ class _Text:
     """A text of a band, and the (id, source) of the records that have it."""
 
     parts: dict[str, list[str]]
-    bands: frozenset[int]
     records: list[tuple[int, int]]
     shingles: set[tuple[str, ...]]
 
 
-def _within(band: int, rows: list[tuple]) -> Iterator[tuple[int, str]]:
-    """(id, field) of the fields that end early beside another text of the band; a pair is looked at in the first band it shares."""
-    texts: dict[int, _Text] = {}
-    for key, source, title, summary, bands, text in rows:
+def _within(rows: list[tuple]) -> Iterator[tuple[int, str]]:
+    """(id, field) of the fields that end early beside another text of the band."""
+    texts: dict[tuple, _Text] = {}
+    for key, source, title, summary in rows:
+        parts = near_words(title, summary)
+        text = tuple(map(tuple, parts.values()))
         if text not in texts:
-            parts = near_words(title, summary)
-            texts[text] = _Text(parts, frozenset(bands), [], _shingles(parts))
+            texts[text] = _Text(parts, [], _shingles(parts))
         texts[text].records.append((key, source))
     if len(texts) < 2:
         return
@@ -539,7 +539,7 @@ def _within(band: int, rows: list[tuple]) -> Iterator[tuple[int, str]]:
                 continue
             done.add((text, field, top))
             one, other = texts[text], texts[top]
-            if min(one.bands & other.bands) != band or len(one.shingles & other.shingles) < SIMILARITY * len(one.shingles | other.shingles):
+            if len(one.shingles & other.shingles) < SIMILARITY * len(one.shingles | other.shingles):
                 continue
             if ends_early(one.parts[field], other.parts[field], field == "t"):
                 complete, sources = finished(" ".join(one.parts[field])), {source for _, source in other.records}
@@ -552,13 +552,13 @@ def _cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     band = None
     for b in batches:
         found: list[tuple[int, str]] = []
-        for own, *row in zip(*(b.column(c).to_pylist() for c in ("band", "id", "source", "title", "summary", "bands", "text")), strict=True):
+        for own, *row in zip(*(b.column(c).to_pylist() for c in ("band", "id", "source", "title", "summary")), strict=True):
             if own != band:
-                found += _within(band, held)
+                found += _within(held)
                 band, held = own, []
             held.append(tuple(row))
         yield _fields(found)
-    yield _fields(list(_within(band, held)))
+    yield _fields(list(_within(held)))
 
 
 def _fields(found: list[tuple[int, str]]) -> pa.RecordBatch:
@@ -631,8 +631,8 @@ def near_copies(records: DataFrame, known: DataFrame | None = None, keys: DataFr
     texts = keys.select(F.explode("keys").alias("band"), F.col("key").alias("text"))
     shared = texts.groupBy("band").agg(F.min("text").alias("least"), F.max("text").alias("most"), F.count("*").alias("rows")).where("least < most")
     shared = stored(shared.select("band", "rows"))
-    rows = keys.select(F.explode("keys").alias("band"), "id", F.col("keys").alias("bands"), F.col("key").alias("text")).join(shared.where(F.col("rows") <= BLOCK).select("band"), "band")
-    rows = rows.join(own, "id").select("band", "id", "source", "title", "summary", "bands", "text")
+    rows = keys.select(F.explode("keys").alias("band"), "id").join(shared.where(F.col("rows") <= BLOCK).select("band"), "band")
+    rows = rows.join(own, "id").select("band", "id", "source", "title", "summary")
     found = rows.repartition("band").sortWithinPartitions("band").mapInArrow(_cold, "id bigint, field string")
     crowded = shared.where(F.col("rows") > BLOCK).select("band")
     if not crowded.isEmpty():
