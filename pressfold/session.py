@@ -88,6 +88,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def once(rows: DataFrame, key: str) -> DataFrame:
+    """One row for each value of ``key``; only the keys are shuffled, and the rows of repeated ones."""
+    repeated = stored(rows.groupBy(key).count().where("count > 1").select(key))
+    if repeated.isEmpty():
+        return rows
+    return rows.join(repeated, key, "left_anti").unionByName(rows.join(repeated, key, "left_semi").dropDuplicates([key]))
+
+
 def new_folder(spark: SparkSession) -> str:
     """The path of a folder to be made in the shared folder; it is removed when the session's Python process ends."""
     path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
