@@ -44,7 +44,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressfold.session import stored
+from pressfold.session import once, stored
 
 SEGMENTS = 3
 #: Headlines of fewer characters must agree exactly: one letter of them is a fifth of a name or more, another term and no slip.
@@ -169,7 +169,7 @@ def prepare(records: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     ``records`` needs id, corporation_id, title and link; ``sources`` has id
     and name, which may follow a headline as a label.
     """
-    own = records.select("id", "corporation_id", "title", "link").where("id is not null").dropDuplicates(["id"])
+    own = once(records.select("id", "corporation_id", "title", "link").where("id is not null"), "id")
     if sources is None:
         own = own.withColumn("site", F.lit(None).cast("string"))
     else:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressfold.session import stored
+from pressfold.session import once
 
 #: Documents that the model is fitted on, at most, and the bytes of the longest.
 TRAIN_DOCUMENTS, TRAIN_BYTES = 8000, 1 << 14
@@ -353,14 +353,6 @@ def sample(documents: DataFrame, bound: int = TRAIN_DOCUMENTS, *, text: str = "t
     return sorted({r.t for r in first.collect()})
 
 
-def _once(own: DataFrame) -> DataFrame:
-    """One row for each doc_id; only rows of repeated ids are shuffled with their text."""
-    repeated = stored(own.groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if repeated.isEmpty():
-        return own
-    return own.join(repeated, "doc_id", "left_anti").unionByName(own.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-
-
 def _divider(held):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
@@ -381,4 +373,4 @@ def sentences(documents: DataFrame, *, text: str = "text", model: Model | None =
     model = model or fit(sample(documents, text=text))
     held = documents.sparkSession.sparkContext.broadcast(model)
     own = documents.select("doc_id", F.col(text).alias("t")).where("doc_id is not null and t is not null and t <> ''")
-    return _once(own).mapInArrow(_divider(held), "doc_id bigint, start_char bigint, end_char bigint")
+    return once(own, "doc_id").mapInArrow(_divider(held), "doc_id bigint, start_char bigint, end_char bigint")

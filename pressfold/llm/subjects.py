@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressfold.session import stored
+from pressfold.session import once, stored
 
 LABELLED = 20_000
 TERM_SHARE, TERM_ROWS = 1e-4, 4
@@ -284,8 +284,8 @@ def _judged(held, subjects: list[int]):  # noqa: ANN001, ANN202
 
 def subjects_of(articles: DataFrame, labels: DataFrame, article_tags: DataFrame, tags: DataFrame, left_out: DataFrame | None = None) -> DataFrame:
     """(article_id, subject_id) of the subjects of each article; ``left_out`` has ids that have none."""
-    own = articles.select("id", "title", "summary").where("id is not null").dropDuplicates(["id"])
-    terms = stored(own.mapInArrow(_terms, "id bigint, terms array<bigint>"))
+    own = articles.select("id", "title", "summary").where("id is not null")
+    terms = stored(once(own, "id").mapInArrow(_terms, "id bigint, terms array<bigint>"))
     known = labels.select(F.col("article_id").alias("id"), F.col("subject_id").cast("int").alias("subject")).dropna().distinct()
     names = sorted(r[0] for r in known.select("subject").distinct().collect())  # subjects, a dozen or so
     out_schema = "article_id bigint, subject_id int"
