@@ -19,7 +19,8 @@ source; accepting a batch appends its segments.
 The stored history is divided into buckets by the hash of what is looked up.
 Everything is asked for by the batch's own keys, entries, headlines and ids, and
 only the buckets that these fall into are read, so a batch that is small against
-the number of buckets reads the same however long the history is.
+the number of buckets reads the same from a long history as from a short one, as
+long as the number of buckets was chosen with its length.
 
 Which of a batch's records count as accepted depends on their order: rounds
 decide each record as soon as everything before it that it matches is decided.
@@ -51,8 +52,8 @@ SEGMENTS = 3
 SHORTEST = 6
 #: Headlines of one entry from which on a second key divides them.
 HOT = 64
-#: Rows of history for each bucket of its stored tables.
-BUCKET_ROWS = 200_000
+#: Rows of history for each bucket of its stored tables, and the most buckets that are made by default; they change no result.
+BUCKET_ROWS, MOST_BUCKETS = 200_000, 10_000
 
 # Query fields that do not change a page.
 TRACKING = re.compile(r"^(utm_\w+|fbclid|gclid|dclid|msclkid|yclid|igshid|mc_cid|mc_eid|ref|ref_src|source|share|spm)$")
@@ -286,13 +287,13 @@ class History:
     def append(self, path: str, buckets: int | None = None) -> None:
         """Add these records to the history kept in a folder; a headline that it holds already may be stored again.
 
-        The first call sets the number of buckets, by default one for each ``BUCKET_ROWS`` of its records.
+        The first call sets the number of buckets, by default one for each ``BUCKET_ROWS`` of its records, at most ``MOST_BUCKETS``.
         """
         spark = self.records.sparkSession
         try:
             buckets = spark.read.parquet(f"{path}/layout").first()[0]
         except AnalysisException:
-            buckets = buckets or 1 + self.records.count() // BUCKET_ROWS
+            buckets = buckets or min(MOST_BUCKETS, 1 + self.records.count() // BUCKET_ROWS)
             spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{path}/layout")
         for name, column in self.COLUMNS.items():
             rows = getattr(self, name).drop("bucket").withColumn("bucket", _bucket(column, buckets))
