@@ -611,7 +611,7 @@ def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 #: Partners that an end is compared with at once; if none shows it to be cut, others follow.
 PARTNERS = 64
-#: Minima whose two bits may differ in a pair that is aligned: at similarity 0.8 more differ in 1 of 20,000 pairs.
+#: Minima whose two bits may differ in a pair that is aligned: at similarity 0.8 more differ in 1 of 10,000 pairs.
 DIFFERENT = 13
 
 
