@@ -63,7 +63,7 @@ def p6_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _cut(spark: SparkSession, folder: str) -> DataFrame:
-    return truncation.truncated(table(spark, folder, "article"), p4_found(spark, folder))
+    return truncation.truncated(table(spark, folder, "article"), sites=table(spark, folder, "corporation"))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -77,13 +77,28 @@ _SHAPED = re.compile(r"\w[.:/_]\w|[\"'`/{%@\[<$#]|\d")
 _CODE = re.compile(r"'[^'\s]{1,40}'|\"[^\"\s]{1,40}\"|`[^`]{1,40}`|(?<!\w)/?(?:[\w.-]+/)+[\w.-]*|\b(?:[\w-]+\.)+[a-z]\w*|\bv?\d+(?:[.:]\d+)*\b|\b[0-9a-f]*\d[0-9a-f]{3,}\b")
 _STATUS = re.compile(r"(?<![\w.,%$])[45]\s?\d\s?\d(?![\w%]|[.,]\d)")
 _TEMPLATE = re.compile(r"[{<]|%[a-z_(>]|@@|\[\[|\[object|__")
+
+
+def _templated(line: str) -> bool:
+    """Whether a line has a character without which ``_TEMPLATE`` finds nothing."""
+    return "{" in line or "<" in line or "%" in line or "@" in line or "[" in line or "_" in line
+
+
 _THROWN = re.compile(r"(?:[a-z_$][\w$]*\.)+[\w$]*(?:exception|error)\b|\b(?:net::)?err_[a-z_]{4,40}|\[object \w+\]")
 _TAGS = re.compile(r"</?(?:p|div|span|br|b|i|em|strong|h[1-6]|li|ul|a|noscript)(?:\s[^<>]*)?/?>", re.IGNORECASE)
 _REFERENCE = re.compile(r"\s*\((?:ref|request|id|code|trace)[ :#]*[0-9a-f-]{4,40}\)", re.IGNORECASE)
 _EDGE = " \t\u00a0※*•·;|-–—"
 _FACES = (":(", ":)", "ㅠㅠ", "ᅲᅲ", "ㅜㅜ")
 _PARTS = re.compile(r"\n|\s+(?:[-–—|·»]|::)\s+")
-_DIVIDERS = ("\n", " -", "|", " –", " —", "·", "»", "::")
+
+
+def _divided(text: str) -> bool:
+    """Whether a text has something without which ``_PARTS`` divides nothing."""
+    if "\n" in text or " -" in text or "|" in text or "::" in text:
+        return True
+    return not text.isascii() and (" –" in text or " —" in text or "·" in text or "»" in text)
+
+
 _HOST = re.compile(r"(?:[\w-]+\.)+[a-z]{2,}")
 _LETTER, _SIGN = re.compile(r"[^\W\d_]"), re.compile(r"[^\W_]")
 _DIGIT = re.compile(r"\d")
@@ -143,7 +158,7 @@ def clean(text: str) -> str:
 def score(line: str) -> float:
     """How much of a normalised line belongs to a notice, 0 to 1; 0 if nothing in it makes a notice."""
     words, kinds = line.split(), _KINDS
-    if len(set(words)) > 0.8 * len(words) and FILLER_WORDS.isdisjoint(words) and not _TEMPLATE.search(line):
+    if len(set(words)) > 0.8 * len(words) and FILLER_WORDS.isdisjoint(words) and not (_templated(line) and _TEMPLATE.search(line)):
         unknown, most = 0, (1 - MAYBE) * len(words)  # most lines end here
         for word in words:
             if kinds[word] is None:
@@ -199,20 +214,50 @@ def own_placeholders(text: str) -> bool:
     return not _SIGN.search(text[last.end() :]) and bool(_FINISHED.search(text[: last.start()]))
 
 
+#: Where a placeholder with a percent sign may begin.
+_PERCENT = re.compile(r"%[A-Za-z_(>]")
+
+
+def _content(text: str, names: set[str]) -> str | None:
+    """The only line of a text in which nothing belongs to a notice, as most are; None for a text that takes a closer look."""
+    if "{" in text or "<" in text or "@" in text or "[" in text or "_" in text or "&" in text or "(" in text or "  " in text or _divided(text) or not text.isprintable() or ("%" in text and _PERCENT.search(text)):
+        return None
+    if not text.isascii() and not unicodedata.is_normalized("NFKC", text):
+        return None
+    line = text.strip().strip(_EDGE).lower()
+    words = line.split()
+    if len(words) < 2 or len(set(words)) <= 0.8 * len(words) or line.endswith(_FACES) or line in names or not FILLER_WORDS.isdisjoint(words):
+        return None
+    unknown, most, kinds = 0, (1 - MAYBE) * len(words), _KINDS
+    for word in words:
+        if kinds[word] is None:
+            unknown += 1
+            if unknown > most:
+                return line
+    return None
+
+
 def lines_of(text: str | None, names: set[str]) -> tuple[bool, list[tuple[str, int]]]:
     """Whether the field is a case by itself, and its lines as (normalised, kind): 2 evidence, 1 known boilerplate, -1 evidence if hosts share it, 0 other."""
-    text = clean(text or "")
+    text = text or ""
+    line = _content(text, names)
+    return (False, [(line, 0)]) if line is not None else _closely(text, names)
+
+
+def _closely(text: str, names: set[str]) -> tuple[bool, list[tuple[str, int]]]:
+    """``lines_of`` for any text."""
+    text = clean(text)
     if not text:
         return False, []
     if own_placeholders(text):
         return True, []
     lines = []
-    for part in _PARTS.split(text) if any(c in text for c in _DIVIDERS) else (text,):
+    for part in _PARTS.split(text) if _divided(text) else (text,):
         line = part.strip(_EDGE).lower()
         while line.endswith(_FACES):
             line = line[:-2].rstrip(_EDGE)
         if line:
-            if line in names or _HOST.fullmatch(line):
+            if line in names or ("." in line and _HOST.fullmatch(line)):
                 lines.append((line, 1))
             else:
                 known = score(line)
@@ -227,17 +272,61 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def host_of(link: str | None) -> str:
+    return (link or "").strip().lower().partition("://")[2].partition("/")[0].partition(":")[0].removeprefix("www.")
+
+
+def names_of(site: str | None) -> set[str]:
+    return {clean(site).lower()} if site else set()
+
+
+def wording_of(line: str) -> int:
+    return _hash(" ".join(_DIGIT.sub("", line).split()))
+
+
+class Lines:
+    """The lines of fields for ``settled``, as another pass over the texts meets them."""
+
+    def __init__(self) -> None:
+        self.names: dict[str | None, set[str]] = {}
+        self.start()
+
+    def start(self) -> None:
+        """Begin a batch: no rows (id, field, host, line, kind, wording) of fields that may be residue, no lines that count."""
+        self.rows: list[tuple] = []
+        self.counted: list[int] = []
+
+    def add(self, key: int, title: str | None, summary: str | None, link: str | None, site: str | None) -> None:
+        host, names = host_of(link), self.names.get(site)
+        if names is None:
+            names = self.names[site] = names_of(site)
+        for field, text in (("t", title), ("s", summary)):
+            if not text:
+                continue
+            whole = _content(text, names)
+            if whole is not None:
+                self.counted.append(_hash(f"{host}\x01{whole}"))
+                continue
+            case, lines = _closely(text, names)
+            if case:
+                lines = [("", 3)]
+            hashed = [(_hash(f"{host}\x01{line}"), kind, line) for line, kind in lines]
+            self.counted += [line for line, kind, _ in hashed if kind in (0, -1)]
+            if any(kind not in (0, 1) for _, kind, _ in hashed):
+                self.rows += [(key, field, _hash(host), line, kind, wording_of(text) if kind == -1 else None) for line, kind, text in hashed]
+
+
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each line of a field; kind 3 for a field that is a case by itself; the wording, without numbers, of lines that other hosts may settle."""
     for b in batches:
         known: dict[str | None, set[str]] = {}
         columns = ids, fields, hosts, found, kinds, wordings = [], [], [], [], [], []
         for key, title, summary, link, site in zip(*(b.column(c).to_pylist() for c in ("id", "title", "summary", "link", "site")), strict=True):
-            host = (link or "").strip().lower().partition("://")[2].partition("/")[0].partition(":")[0].removeprefix("www.")
+            host = host_of(link)
             place = _hash(host)
             names = known.get(site)
             if names is None:
-                names = known[site] = {clean(site).lower()} if site else set()
+                names = known[site] = names_of(site)
             for field, text in ((0, title), (1, summary)):
                 if not text:
                     continue
@@ -250,10 +339,15 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     hosts.append(place)
                     found.append(_hash(f"{host}\x01{line}"))
                     kinds.append(kind)
-                    wordings.append(_hash(" ".join(_DIGIT.sub("", line).split())) if kind == -1 else None)
+                    wordings.append(wording_of(line) if kind == -1 else None)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _LINES, strict=True)], schema=_LINES)
 
 
+def site_names(sources: DataFrame) -> DataFrame:
+    """(corporation_id, site): the name of each source (id, name)."""
+    return sources.groupBy(F.col("id").alias("corporation_id")).agg(F.min("name").alias("site"))
+
+
 def residue(records: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """(id) of the records whose title or summary is residue.
 
@@ -264,20 +358,29 @@ def residue(records: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     if sources is None:
         own = own.withColumn("site", F.lit(None).cast("string"))
     else:
-        own = own.join(sources.groupBy(F.col("id").alias("corporation_id")).agg(F.min("name").alias("site")), "corporation_id", "left")
+        own = own.join(site_names(sources), "corporation_id", "left")
     lines = own.select("id", "title", "summary", "link", "site").mapInArrow(_lines, "id bigint, field int, host bigint, line bigint, kind int, wording bigint")
     lines = stored(lines)
+    return settled(lines, lines.where("kind <= 0 and kind >= -1").select("line"))
+
+
+def settled(lines: DataFrame, counted: DataFrame) -> DataFrame:
+    """(id) of the residue among ``lines`` (id, field, host, line, kind, wording).
+
+    ``lines`` must have all lines of a field if one is more than content or a
+    name; ``counted`` (line) has the lines of all fields but evidence and names.
+    """
     shared = lines.where("kind = -1").select("wording", "host").distinct().groupBy("wording").count().where(F.col("count") >= HOSTS)
     doubtful = lines.where("kind = -1").join(shared.select("wording", F.lit(2).alias("settled")), "wording", "left")
-    settled = doubtful.select("id", "field", "host", "line", F.coalesce("settled", F.lit(0)).alias("kind"))
-    sure = lines.where("kind >= 2").select("id", "field").unionByName(settled.where("kind = 2").select("id", "field"))
+    doubtful = doubtful.select("id", "field", "host", "line", F.coalesce("settled", F.lit(0)).alias("kind"))
+    sure = lines.where("kind >= 2").select("id", "field").unionByName(doubtful.where("kind = 2").select("id", "field"))
     fields = stored(sure.distinct())
     # what else stands in these fields is content, unless it recurs on its host
-    rest = lines.where("kind = 0").select("id", "field", "host", "line").unionByName(settled.where("kind = 0").drop("kind")).join(fields, ["id", "field"], "left_semi")
+    rest = lines.where("kind = 0").select("id", "field", "host", "line").unionByName(doubtful.where("kind = 0").drop("kind")).join(fields, ["id", "field"], "left_semi")
     rest = stored(rest)
     # partial counts are made before the shuffle, so a host with most of the rows is no heavier than others
-    counted = lines.where("kind <= 0 and kind >= -1").groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= RECURRENT)
-    boilerplate = counted.join(rest.select("host", "line").distinct(), ["host", "line"], "left_semi").select("host", "line", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    content = rest.withColumn("salt", F.pmod(F.xxhash64("id", "field"), F.lit(SALT)).cast("int")).join(boilerplate, ["host", "line", "salt"], "left_anti")
+    counted = counted.join(rest.select("line").distinct(), "line", "left_semi").groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= RECURRENT)
+    boilerplate = counted.select("line", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    content = rest.withColumn("salt", F.pmod(F.xxhash64("id", "field"), F.lit(SALT)).cast("int")).join(boilerplate, ["line", "salt"], "left_anti")
     certain = lines.where("kind = 3").select("id")
     return fields.join(content.select("id", "field").distinct(), ["id", "field"], "left_anti").select("id").unionByName(certain).distinct()

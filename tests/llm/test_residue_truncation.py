@@ -1,5 +1,7 @@
 """Residue and cut texts, by example and in tables."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from pressfold.llm import residue as R
@@ -172,3 +174,39 @@ def test_crowded_bands_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(T, "BLOCK", 1)
     monkeypatch.setattr(T, "PARTNERS", 2)
     assert {(r.id, r.field) for r in T.near_copies(table).collect()} == found
+
+
+def test_residue_is_left_out_in_the_same_pass(spark):
+    rows = [(i, 1, f"Real headline number {i} - Site of Acme", "real text that goes on", "https://a.com/3", None) for i in range(10, 30)]
+    rows += [(1, 1, "upstream timed out - Site of Acme", "It also covers the lim… Read more", "https://a.com/4", None), (2, 1, "Acme", "404\nLoading the wor… Read more", "https://a.com/5", None), (3, None, "Fine", "{{ title }} {{ summary", None, None)]
+    rows += [(1, 1, "upstream timed out - Site of Acme", "It also covers the lim… Read more", "https://a.com/4", None), (None, 1, "404", "404", None, None), (4, 2, "null | Acme", "with an open (bracket", "https://b.com/2", None), (5, 3, None, "cut at 44% of the wor… Read more", None, None)]
+    table = spark.createDataFrame(rows, ROWS)
+    names = spark.createDataFrame([(1, "Acme"), (2, "Acme"), (None, "x")], "id bigint, name string")
+    apart = sorted((r.id, r.field_name) for r in T.truncated(table, R.residue(table, names)).collect())
+    assert sorted((r.id, r.field_name) for r in T.truncated(table, sites=names).collect()) == apart
+    assert (5, "summary") in apart and not {1, 4} & {i for i, _ in apart}
+
+
+def test_shared_bands(monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = sorted((int(band), k, int(rng.integers(3))) for k, band in enumerate(rng.choice([2, 4, 5, 7, 8, 10, 11, *range(20, 400, 2)], 2000, p=[0.2, 0.1, 0.1, 0.1, 0.05, 0.05, 0.1, *[0.3 / 190] * 190])))
+    rows += [(1000, 1, 1), (1000, 2, 2), (1002, 1, 5), (1002, 2, 6), (1004, 9, 4), (1004, 8, 4), *((1006, k, 0) for k in range(100))]
+    expected, small = set(), set()
+    for band in {b for b, _, _ in rows}:
+        own = [(i, t) for b, i, t in rows if b == band]
+        if len({t for _, t in own}) > 1:
+            if band & 1 or len(own) > 20:
+                expected |= {(T.BEGUN if band & 1 else T.CROWD, i) for i, _ in own}
+            else:
+                small.add(frozenset(i for i, _ in own))
+    for held, size in ((1 << 16, 5000), (1 << 16, 7), (30, 64)):
+        monkeypatch.setattr(T, "HELD", held)
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[k : k + size], strict=True)], names=["band", "id", "text"]) for k in range(0, len(rows), size)]
+        found = [tuple(r.values()) for b in T._shared(iter(batches), 20) for r in b.to_pylist()]
+        several = {band for kind, band, _ in found if kind == T.SEVERAL}
+        assert {(kind, i) for kind, band, i in found if kind == T.BEGUN or (kind == T.CROWD and band in several)} == expected
+        groups = {}
+        for kind, band, i in found:
+            if kind == T.GROUP:
+                groups.setdefault(band, set()).add(i)
+        assert len(groups) == len(small) and set(map(frozenset, groups.values())) == small
